@@ -10,11 +10,12 @@ it has digits), in whatever document it stands.  An estimate needs ``min_joint``
 neighbouring words differ (at least as many, and in half of them): copies of one text are one
 observation, not evidence.
 
-Counts cover all documents and whole texts.  Only entity windows are shuffled; n_t is counted map-side
+Classes are sought in the order credential, mail, IP, social, card, phone, account number; what one
+takes the next cannot.  Counts cover all documents and whole texts.  Only entity windows are shuffled; n_t is counted map-side
 for the terms in question, which are broadcast in slices of ``slice_terms``.
 
-Edge cases: a null text stays null with zero counts, an empty one empty.  Overlapping entities: the
-one that starts first, then the longer.  Ties of a term between entities: the higher ratio counts.
+Edge cases: a null text stays null with zero counts, an empty one empty.  Entities of a
+class are taken from left to right, the longest first, and never overlap.  Ties of a term between entities: the higher ratio counts.
 Repeated rows count as documents.  A document without entities and disclosing terms returns
 unchanged, to the byte.  An empty table gives no rows.  Only doc_id and text are read.
 """
@@ -63,21 +64,29 @@ class Params:
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, class) of the protected mentions, in order, without overlap."""
     found = []
-    if "@" in text:
-        found += [(*m.span(), "EMAIL") for m in EMAIL.finditer(text)]
-    if DIGITS.search(text):
-        for name, pattern in NUMBERS:
-            found += [(*m.span(), name) for m in pattern.finditer(text)]
+    rest = text  # what earlier classes found is blanked, so that a phone number can't reach into an address
     if HINT.search(text):
         found += [(*(m.span("value") if m["value"] else m.span()), "CREDENTIAL") for m in CREDENTIAL.finditer(text)]
-    if len(found) < 2:
-        return found
-    found.sort(key=lambda x: (x[0], -x[1]))
-    out = found[:1]
-    for x in found[1:]:
-        if x[0] >= out[-1][1]:
-            out.append(x)
-    return out
+        rest = blanked(rest, found)
+    if "@" in rest:
+        found += (new := [(*m.span(), "EMAIL") for m in EMAIL.finditer(rest)])
+        rest = blanked(rest, new)
+    if DIGITS.search(rest):
+        for name, pattern in NUMBERS:
+            found += (new := [(*m.span(), name) for m in pattern.finditer(rest)])
+            rest = blanked(rest, new)
+    return sorted(found)
+
+
+def blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with a control character for each one of the spans."""
+    if not spans:
+        return text
+    parts, at = [], 0
+    for a, b, _ in spans:
+        parts += (text[at:a], "\x01" * (b - a))
+        at = b
+    return "".join(parts) + text[at:]
 
 
 def observations(text: str, window: int) -> dict[tuple[int, str | None], int]:

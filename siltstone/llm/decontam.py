@@ -39,7 +39,7 @@ HIT = "array<struct<item_id:bigint,coverage:double,tiles:int,longest:int>>"
 @dataclass
 class Params:
     min_tile: int = 5
-    min_coverage: float = 0.6
+    min_coverage: float = 0.5
     slice_seeds: int = 1_000_000
 
 

@@ -5,7 +5,9 @@ bearing a provider's prefix (``AKIA``, ``ghp_``), standing shortly behind a sens
 block.  The compressor is primed with a dictionary of code identifiers, sensitive names and usual
 placeholders.  A candidate's novelty is the number of bytes by which the compressed surroundings
 grow when it is put back in its place, over its length: words, placeholders and repetitions of what
-stands around cost next to nothing, keys cost all their entropy.  From ``min_novelty`` on it is reported.
+stands around cost next to nothing, keys cost all their entropy.  Other occurrences of the candidate
+in a sensitive context are cut from its surroundings: they would vouch for each other.  From
+``min_novelty`` on it is reported.
 
 Edge cases: null and empty texts report nothing.  Overlapping candidates: the first, then the longest.
 Each occurrence is reported at its offset (characters from 0); repeated rows repeat.  The secret itself
@@ -15,6 +17,7 @@ no rows; only doc_id and text are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import col, small_batches
 
-NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key|client[_-]?secret"
+NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth(?:orization)?|bearer|credentials?|private[ _-]?key|client[ _-]?secret"
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "sk_live", "AIza", "eyJ", "-----BEGIN")
 RULES = [
@@ -43,6 +46,7 @@ DICTIONARY = " ".join(
     password passwd passphrase pwd secret token api_key apikey api-key access_key access_token refresh_token auth_token client_id client_secret
     private_key public_key aws_access_key_id aws_secret_access_key credentials credential login logout encrypt decrypt signature
     changeme change_me changeit example example_key your_api_key your-api-key your_password_here yourpassword mypassword my_password password123 passw0rd
+    ${API_KEY} ${PASSWORD} ${SECRET} $TOKEN <your-token> <your-api-key> <password> <secret> {{ secrets.TOKEN }} settings.SECRET_KEY request.headers
     placeholder dummy test testing test_token sample xxxxxxxxxxxxxxxx XXXXXXXXXXXX ******** 0000000000000000 1234567890 123456789012 12345678 abcdefghijklmnopqrstuvwxyz
     ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef deadbeefdeadbeef undefined redacted REDACTED hidden insert_here todo TODO lorem ipsum
     the and of to in that this with from for are was have been which there their would about other into than them these some could""".split()
@@ -69,18 +73,40 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 class Novelty:
     def __init__(self) -> None:
         primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # even a lone candidate is measured inside a block that zstd compresses, not stores
+        self.frame = DICTIONARY[:160]
         self.pack = zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_checksum=False).compress
 
     def marginal(self, before: str, candidate: str, after: str) -> int:
         enc = lambda s: s.encode("utf-8", "surrogatepass")
-        return max(0, len(self.pack(enc(before + candidate + after))) - len(self.pack(enc(before + after))))
+        return max(0, len(self.pack(self.frame + enc(before + candidate + after))) - len(self.pack(self.frame + enc(before + after))))
+
+
+def without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> str:
+    """text[start:end] less the spans."""
+    parts = []
+    for a, b in spans:
+        if b > start and a < end:
+            parts.append(text[start : max(start, a)])
+            start = min(end, b)
+    return "".join(parts) + text[start:end]
 
 
 def scan(text: str | None, novelty: Novelty, p: Params) -> list[dict]:
     out = []
-    for a, b, rule in candidates(text) if text else ():
+    found_at: dict[str, list[tuple[int, int]]] = {}
+    all_of = candidates(text) if text else []
+    for a, b, _ in all_of:
+        found_at.setdefault(text[a:b], []).append((a, b))
+    for a, b, rule in all_of:
         found = text[a:b]
-        n = novelty.marginal(text[max(0, a - p.around) : a], found, text[b : b + p.around])
+        same = found_at[found]
+        if len(same) > 1:  # a secret given twice must not vouch for itself
+            near = [x for x in same[max(0, bisect.bisect_left(same, (a, b)) - p.around) :][: 2 * p.around + 1] if x[1] > a - p.around and x[0] < b + p.around]
+            before, after = without(text, max(0, a - p.around), a, near), without(text, b, b + p.around, near)
+        else:
+            before, after = text[max(0, a - p.around) : a], text[b : b + p.around]
+        n = novelty.marginal(before, found, after)
         size = len(found.encode("utf-8", "surrogatepass"))
         if n >= p.min_bytes and n / size >= p.min_novelty:
             out.append({"offset": a, "length": b - a, "rule": rule, "marginal_bytes": n, "novelty": n / size, "preview": found[:4] + "...", "sha256": hashlib.sha256(found.encode("utf-8", "surrogatepass")).hexdigest()})

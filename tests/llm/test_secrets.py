@@ -27,6 +27,12 @@ def test_placeholders_prose_and_plain_hashes_are_not():
         assert scan(text) == [], text
 
 
+def test_a_secret_given_twice_is_reported_twice():
+    key = "q8Zr2LmX0vTn5KwYb7Hc"
+    assert [r["offset"] for r in scan(f"token = {key} " * 3)] == [8, 37, 66]
+    assert len(scan(f"password={key}\n" * 500)) == 500
+
+
 def test_repetition_of_the_surroundings_costs_nothing():
     key = "q8Zr2LmX0vTn5KwYb7Hc"
     assert scan(f"token = {key}")

@@ -92,11 +92,11 @@ for _t, _cols in COLUMNS.items():
 
         def _ends(spark: SparkSession, sf_dir: str, t: str = _t, cols: dict = _cols) -> DataFrame:
             num = [c for c, k in cols.items() if types.is_numeric(k)]
-            agg = table(spark, sf_dir, t).agg(*[f(quoted(c)).cast("double").alias(f"{n}{i}") for i, c in enumerate(num) for n, f in (("lo", F.min), ("hi", F.max))])
+            agg = table(spark, sf_dir, t).agg(*[(f(quoted(c)).cast("double") + 0.0).alias(f"{n}{i}") for i, c in enumerate(num) for n, f in (("lo", F.min), ("hi", F.max))])
             return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(num)])).alias("r")).select("r.*")
 
         ALL[f"profile_min_max_{_t}"] = _ends
-        ORACLES[f"profile_min_max_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value FROM {_t}" for c, k in _cols.items() if types.is_numeric(k))
+        ORACLES[f"profile_min_max_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::DOUBLE + 0.0::DOUBLE AS min_value, max({c})::DOUBLE + 0.0::DOUBLE AS max_value FROM {_t}" for c, k in _cols.items() if types.is_numeric(k))
 
 DOMAINS = {"orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus", "l_linenumber"], "customer": ["c_mktsegment", "c_nationkey"], "part": ["p_brand", "p_type"], "events": ["event_type"], "documents": ["lang", "source"]}
 for _t, _names in DOMAINS.items():

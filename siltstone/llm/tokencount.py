@@ -119,7 +119,7 @@ def frequent_pretokens(docs: DataFrame, p: Params) -> list[str]:
     while width > p.fan_in:
         width = -(-width // p.fan_in)
         level = level.repartition(width, F.expr(f"node div {p.fan_in}")).mapInArrow(merge, schema)
-    top = level.coalesce(1).mapInArrow(merge, schema).first()
+    top = level.repartition(1).mapInArrow(merge, schema).first()  # a shuffle: coalesce would summarise all texts in one task
     if top is None:
         return []
     return [w for w, _ in sorted(zip(top.pieces, top.counts, strict=True), key=lambda x: (-x[1], x[0]))]

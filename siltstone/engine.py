@@ -206,7 +206,7 @@ class Engine:
         got = firewall.inspect_query(self.spark, sql, cache, q.max_rows)
         with self.gate.spend(inspect.scan_bytes(got.df), "query"):
             rows = self._collect(got, q.max_rows + 1, q.timeout_seconds)
-        notes = [*got.warnings, *(["the engine capped the result"] if got.capped else [])]
+        notes = [*got.warnings, *(["the engine capped the result"] if got.capped_by_engine else [])]
         out = QueryResult(got.df.columns, [t for _, t in got.df.dtypes], [list(r) for r in rows[: q.max_rows]], len(rows) > q.max_rows, notes)
         self.store.append("queries", {"at": dt.datetime.now(dt.UTC).isoformat(), "sql": sql, "tables": got.tables, "rows": len(out.cells)})
         return firewall.shape(out, q.max_cell_chars, q.max_payload_bytes)
@@ -369,7 +369,15 @@ class Engine:
         return edits.scaffold_unit_test(self.spark, p, model, schemas)
 
     def plan(self, changes: list[edits.Edit], attribute_rows: bool = False) -> edits.Plan:
-        return edits.plan(self.spark, self._need_project(), changes, self.store, attribute_rows)
+        p = self._need_project()
+
+        def resolve(name: str) -> str:
+            """As the session names it: registered tables go by their view."""
+            relation = p.resolve(name)
+            ids = [k for k in self.source.identifiers() if k.lower() == relation.lower() or k.rpartition(".")[2].lower() == relation.lower()]
+            return f"`{ids[0].rpartition('.')[2]}`" if len(ids) == 1 else relation
+
+        return edits.plan(self.spark, p, changes, self.store, attribute_rows, resolve)
 
     def apply(self, plan_id: str) -> list[str]:
         return edits.apply(self._need_project(), plan_id, self.store)

@@ -7,10 +7,11 @@ import difflib
 import os
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from ..model import Column, Dataset, Record
@@ -135,7 +136,7 @@ def deletion_errors(project: TransformProject, edits: Iterable[Edit]) -> list[st
     return out
 
 
-def plan(spark: SparkSession, project: TransformProject, edits: list[Edit], store: Store, attribute_rows: bool = False, now: dt.datetime | None = None) -> Plan:
+def plan(spark: SparkSession, project: TransformProject, edits: list[Edit], store: Store, attribute_rows: bool = False, resolve: Callable[[str], str] | None = None, now: dt.datetime | None = None) -> Plan:
     """Validate, pin the present content, diff; nothing is written but the plan."""
     if not edits:
         raise Refused("a plan needs an edit")
@@ -156,11 +157,11 @@ def plan(spark: SparkSession, project: TransformProject, edits: list[Edit], stor
                 warnings += [f"{name}: {w}" for w in attribution.contract_warnings(spark, strip_jinja(e.content), project.documented[name])]
             if attribute_rows and old:
                 try:
-                    a = attribution.attribute(spark, old, e.content, project.resolve)
+                    a = attribution.attribute(spark, old, e.content, resolve or project.resolve)
                     warnings += [f"{name}: {c.kind} {c.detail} changes the row count by {c.delta:+d}" for c in a.changes if c.delta is not None]
                     warnings += [f"{name}: {a.net_delta:+d} rows in all" + (", effects interact" if a.interacts else "")]
-                except (attribution.Unattributable, LookupError, Refused) as x:
-                    warnings.append(f"{name}: rows can't be attributed: {x}")
+                except (attribution.Unattributable, LookupError, Refused, AnalysisException) as x:
+                    warnings.append(f"{name}: rows can't be attributed: {str(x).strip().splitlines()[0]}")
     errors = deletion_errors(project, edits)
     if errors:
         raise Refused("; ".join(errors))

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,13 +118,16 @@ def build(spark: SparkSession, project: TransformProject, target: str, select: l
         except Exception as e:
             r.status, r.message = "error", str(e).strip().splitlines()[0]
             continue
-        if test:
-            for t in project.tests:
-                if t["model"] == name:
-                    n = failing(spark, project, target, t)
-                    if n:
-                        r.failures[f"{t['test']}:{t['column'] or ''}"] = n
-            if r.failures:
+    for t in project.tests if test else ():  # once all are built, for a test may read two models
+        r = out.get(t["model"])
+        if r and r.status in ("ok", "failed tests"):
+            try:
+                n = failing(spark, project, target, t)
+            except AnalysisException as e:
+                r.status, r.message = "error", str(e).strip().splitlines()[0]
+                continue
+            if n:
+                r.failures[f"{t['test']}:{t['column'] or ''}"] = n
                 r.status = "failed tests"
     return list(out.values())
 

@@ -51,7 +51,7 @@ def test_inventory_scans_nothing(spark, shop):
 def test_map_finds_the_faults(engine):
     c = engine.cache()
     by = {d.name: d for d in c.datasets}
-    assert by["orders"].grain == ["order_id"] and by["order_lines"].grain == ["order_id", "line_number"]
+    assert by["orders"].grain == ["order_id"] and sorted(by["stock_levels"].grain) == ["snapshot_date", "store_id"]
     said = " ".join(n for d in c.datasets for n in d.data_quality)
     assert "epoch" in said.lower() or "seconds" in said
     assert any("mixes value shapes" in n for n in by["web_events"].data_quality)
@@ -219,5 +219,6 @@ def test_command_line(spark, shop, tmp_path, capsys):
     code, out = call("explore", "query", "SELECT email FROM customers")
     assert code == 1 and out["reason"] == "refused"
     assert call("maintain", "check")[1]["reason"] == "not_found"
+    assert len(call("explore", "map")[1]["data"]["datasets"]) == 7
     assert call("maintain", "snapshot")[1]["ok"] and call("maintain", "schema")[1]["data"] == []
     assert call("demo", "digest")[1]["data"]["digest"] == demo.digest()

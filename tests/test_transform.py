@@ -56,7 +56,7 @@ def engine(spark, root):
 
 def test_project_source(root):
     p = project.load(project.find(root))
-    assert p.name == "shop" and p.order() == ["stg_customers", "stg_orders", "fct_orders"]
+    assert p.name == "shop" and p.order() == ["stg_orders", "stg_customers", "fct_orders"]
     assert p.models["fct_orders"].refs == ["stg_orders", "stg_customers"] and p.models["stg_customers"].materialized == "table"
     assert p.declared_edges() == [("stg_orders", "customer_id", "stg_customers", "customer_id")]
     assert p.declared_keys() == {"stg_orders": [["order_id"]]}
@@ -151,7 +151,7 @@ def test_build_and_tests(engine, spark, root):
 
 def test_selection_and_targets(root, spark):
     p = project.load(root)
-    assert runner.selected(p, ["+fct_orders"]) == ["stg_customers", "stg_orders", "fct_orders"]
+    assert runner.selected(p, ["+fct_orders"]) == ["stg_orders", "stg_customers", "fct_orders"]
     assert runner.selected(p, ["stg_orders+"]) == ["stg_orders", "fct_orders"]
     assert runner.selected(p, ["stg_orders"]) == ["stg_orders"]
     assert runner.schema_name("dev", "staging") == "dev_staging"

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,13 +123,14 @@ class Index:
         words = tokens(text)
         if not words:
             return []
-        ids = np.fromiter([get(w, 0) for w in words], np.uint64, len(words))
+        ids = np.fromiter(map(get, words, repeat(0)), np.uint64, len(words))
         cands: dict[int, list[np.ndarray]] = {}
         for n, seeds in self.seeds.items():
             h = rolling(ids, n)
             at = np.flatnonzero(self.maybe[n][(h >> np.uint64(44)).astype(np.int64)])
             if len(at):
-                at = at[np.isin(h[at], seeds)]
+                x = h[at]
+                at = at[seeds[np.minimum(np.searchsorted(seeds, x), len(seeds) - 1)] == x]
             for i in at.tolist():
                 for x in self.owner[n][int(h[i])]:
                     cands.setdefault(x, []).append(i)

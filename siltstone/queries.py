@@ -16,8 +16,9 @@ from .model import Cache, ColumnMeta, Dataset
 from .operators import cluster as clusters
 from .operators import cumulative, diagram, drift, pii, profile, rank, relationships
 from .operators.unpivot import unpivot_json_object
-from .plans import attribution, firewall, semantic
+from .plans import attribution, costs, firewall, guard, inspect, runner, semantic
 from .sources.catalog import SparkCatalog, period_gaps, value_counts
+from .sources.store import MemoryStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
@@ -462,6 +463,49 @@ def limit_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firewall.inspect_query(spark, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100000", cache, 50).df
 
 
+# tests of models, lineage, statements, spending
+
+_TESTED = ("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@query(
+    "model_tests_orders",
+    " UNION ALL ".join(f"SELECT 'not_null' AS test, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS failures FROM orders" for c in _TESTED)
+    + "".join(f" UNION ALL SELECT 'unique', '{c}', (SELECT count(*) FROM (SELECT {c} FROM orders WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1))" for c in _TESTED[:2]),
+)
+def model_tests_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runner.assertions(table(spark, sf_dir, "orders"), list(_TESTED), list(_TESTED[:2]))
+
+
+@query("lineage_columns_read", "SELECT * FROM (VALUES ('customer', 'c_custkey'), ('customer', 'c_mktsegment'), ('orders', 'o_custkey'), ('orders', 'o_orderstatus'), ('orders', 'o_totalprice')) t(relation, column_name)")
+def lineage_columns_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source(spark, sf_dir, ("orders", "customer"))
+    df = spark.sql("WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'F') SELECT c_mktsegment, sum(o_totalprice) AS s FROM o JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+    return rows(spark, "relation string, column_name string", sorted((t, c) for t, cols in inspect.columns_read(df).items() for c in cols))
+
+
+@query("statement_split", "SELECT * FROM (VALUES (1, 'SELECT 1'), (2, 'SELECT '';'' AS s'), (3, 'SELECT 2')) t(line, statement)")
+def statement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT 1;\nSELECT ';' AS s;\n-- a comment; ends here\nSELECT 2"
+    return rows(spark, "line int, statement string", [(line, s.split("\n")[-1]) for s, line in guard.split_statements(text)])
+
+
+@query("spend_total", "SELECT 70::BIGINT AS spent, 30::BIGINT AS remaining")
+def spend_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = costs.Gate(MemoryStore(), ceiling=100)
+    with gate.spend(90, "scan"):
+        pass
+    gate.settle(90, 70, "scan")
+    return rows(spark, "spent long, remaining long", [(gate.used(), gate.ceiling - gate.used())])
+
+
+@query("reconcile_proposals", "SELECT * FROM (VALUES ('column_added', 'patch'), ('column_dropped', 'patch'), ('column_retyped', 'patch'), ('possible_rename', 'advice')) t(code, kind)")
+def reconcile_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed, cache = drifted(spark, sf_dir)
+    found = drift.schema_drift(cache.datasets, drift.current_state(changed))
+    return rows(spark, "code string, kind string", [(p["code"], p["kind"]) for p in drift.reconcile(found)])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile of lineitem: counts, exact distincts and safe extremes of each column."""
     src = source(spark, sf_dir, ("lineitem",))

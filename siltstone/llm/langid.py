@@ -5,10 +5,14 @@ Method: the blended-spectrum presence kernel k(x, y) = number of distinct charac
 hash buckets, so that the kernel is exact over buckets.  Landmarks from each language give
 Nystroem features z = K(x, L) K(L, L)^(-1/2); one-versus-rest kernel ridge regression is solved in
 that space.  Scoring is a batched matrix product over presence rows: K(x, L) A with K = P B' is
-P (B' A), and B' A is folded once, so that a batch costs one product with (grams x languages).
+P (B' A), and B' A is folded once, so that a text costs the sum of its n-grams' rows of (grams x languages).
+
+The number of distinct n-grams, and the share of them that bounded landmarks know, depends on length.
+So a text of over ``window`` characters is scored in equal windows of at most that many, which overlap
+by three and cover all of it; score, margin and coverage are those of the mean over its windows.
 
 Training rows are a bounded sample: ``train_per_language`` labelled rows of each language, those
-with the smallest text hash, distinct texts.  Everything is scored over whole texts.
+with the smallest text hash, distinct texts.  Every character of every text is scored.
 
 Edge cases: a null, blank or letterless text has no language (``language`` null, rejected).  A text
 that shares too few of its n-grams with the landmarks, or scores two languages alike, is rejected
@@ -43,6 +47,7 @@ class Params:
     ridge: float = 1e-2
     min_coverage: float = 0.5  # share of a text's n-grams that the landmarks know
     min_margin: float = 1e-3
+    window: int = 1024  # characters that are scored together
 
 
 class Grams:
@@ -72,6 +77,13 @@ class Grams:
         return np.unique(np.concatenate([np.unique(self._chunk(text[i : i + CHUNK])) for i in range(0, len(text) - ORDERS + 1, step)]))
 
 
+def windows(text: str, size: int) -> Iterator[str]:
+    """Equal parts of at most about ``size`` characters, the n-grams across each border in the part before it."""
+    n = max(1, -(-len(text) // size))
+    for k in range(n):
+        yield text[len(text) * k // n : len(text) * (k + 1) // n + (ORDERS - 1) * (k < n - 1)]
+
+
 def has_letters(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -120,28 +132,22 @@ def score(texts: list[str | None], model: dict | None, p: Params) -> list[tuple]
         for i in live:
             out[i] = (None, None, None, None, True)
         return out
-    grams, slot, langs = Grams(), model["slot"], model["langs"]
-    for at in range(0, len(live), 64):
-        part = live[at : at + 64]
-        rows = np.zeros((len(part), len(model["weights"])), np.float32)
-        size = np.empty(len(part), np.float32)
-        for r, i in enumerate(part):
-            g = grams.of(texts[i])
+    grams, slot, weights, langs = Grams(), model["slot"], model["weights"], model["langs"]
+    for i in live:
+        got, cover, n = np.zeros(len(langs)), 0.0, 0
+        for part in windows(texts[i].lower(), p.window):
+            g = grams._chunk(part)
             s = slot[g]
-            rows[r, s[s >= 0]] = 1
-            size[r] = len(g)
-        cover = rows.sum(1) / size
-        got = rows @ model["weights"] / np.sqrt(size)[:, None] + model["bias"]
-        best = got.argmax(1)
-        top = got[np.arange(len(part)), best]
-        if len(langs) > 1:
-            got[np.arange(len(part)), best] = -np.inf
-            gap = top - got.max(1)
-        else:
-            gap = np.full(len(part), np.inf)
-        for r, i in enumerate(part):
-            ok = bool(cover[r] >= p.min_coverage and gap[r] >= p.min_margin)
-            out[i] = (langs[best[r]], float(top[r]), float(gap[r]) if np.isfinite(gap[r]) else None, float(cover[r]), ok)
+            s = s[s >= 0]
+            got += weights[s].sum(0) / np.sqrt(len(g))
+            cover += len(s) / len(g)
+            n += 1
+        got, cover = got / n + model["bias"], cover / n
+        best = int(got.argmax())
+        top = got[best]
+        gap = top - np.delete(got, best).max() if len(langs) > 1 else np.inf
+        ok = bool(cover >= p.min_coverage and gap >= p.min_margin)
+        out[i] = (langs[best], float(top), float(gap) if np.isfinite(gap) else None, float(cover), ok)
     return out
 
 

@@ -81,3 +81,36 @@ def test_sample_is_bounded_and_repeatable(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     a, b = (langid.sample(d, langid.Params(train_per_language=20)) for d in (docs, docs.repartition(7)))
     assert a == b and len(a) == 80
+
+
+def test_acceptance_does_not_depend_on_length():
+    """Varied texts of trained languages, of which bounded landmarks know ever fewer distinct n-grams."""
+    rng = np.random.default_rng(5)
+
+    def vocabulary(letters):
+        p = rng.dirichlet(np.full(len(letters), 1.0))
+        return ["".join(rng.choice(list(letters), rng.integers(2, 10), p=p)) for _ in range(40_000)]
+
+    words = {"a": vocabulary("abcdefghijklmnop"), "b": vocabulary("klmnopqrstuvwxyz")}
+
+    def text(lang, chars):
+        at = np.minimum(rng.zipf(1.2, chars // 3) - 1, 39_999)
+        return " ".join(words[lang][i] for i in at)[:chars]
+
+    p = langid.Params(landmarks_per_language=32, train_per_language=32)
+    model = langid.train([(lang, text(lang, 600)) for lang in words for _ in range(32)], p)
+    for lang in words:
+        short, long = (langid.score([text(lang, n)], model, p)[0] for n in (1000, 1_000_000))
+        assert short[0] == long[0] == lang and short[4] and long[4]
+        assert abs(short[3] - long[3]) < 0.1
+    # noise is rejected at any length
+    for n in (1000, 200_000):
+        assert not langid.score(["".join(rng.choice(list("0123456789#%&@a"), n))], model, p)[0][4]
+
+
+def test_windows_hold_every_ngram_once():
+    text = "".join(map(chr, range(100, 1100)))
+    parts = list(langid.windows(text, 64))
+    assert max(map(len, parts)) <= 64 + 3
+    assert [x[i : i + 4] for x in parts for i in range(len(x) - 3)] == [text[i : i + 4] for i in range(len(text) - 3)]
+    assert list(langid.windows("short", 64)) == ["short"] and list(langid.windows("", 64)) == [""]

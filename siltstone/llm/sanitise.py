@@ -6,17 +6,18 @@ documents; a term t discloses c by PMI(c; t) = log2(n_ct N / (n_c n_t)), where n
 in which t stands within ``window`` words of c and n_t all documents with t.  PMI(c; c) = IC(c), so
 every mention of c itself exceeds any threshold and is generalised to its class, ``[EMAIL]``.  A term
 with PMI / IC >= ``remove_at`` is removed, one >= ``generalise_at`` becomes ``[WORD]`` (``[NUMBER]`` if
-it has digits), in whatever document it stands.  An estimate needs ``min_joint`` joint documents whose
-neighbouring words differ (at least as many, and in half of them): copies of one text are one
-observation, not evidence.
+it has digits), in whatever document it stands.  An estimate needs ``min_joint`` joint documents.
+Documents are distinct texts in all these counts: copies of one text (rows equal in the 64-bit hash of
+the whole text) are one observation, not evidence; where a term stands in its document does not matter.
 
 Classes are sought in the order credential, mail, IP, social, card, phone, account number; what one
-takes the next cannot.  Counts cover all documents and whole texts.  Only entity windows are shuffled; n_t is counted map-side
-for the terms in question, which are broadcast in slices of ``slice_terms``.
+takes the next cannot.  Counts cover all documents and whole texts.  Only entity windows and text hashes are shuffled;
+n_t is counted map-side for the terms in question, which are broadcast in slices of ``slice_terms``: the rows with
+a term are counted by how many copies their text has, and each count is divided by it.
 
 Edge cases: a null text stays null with zero counts, an empty one empty.  Entities of a
 class are taken from left to right, the longest first, and never overlap.  Ties of a term between entities: the higher ratio counts.
-Repeated rows count as documents.  A document without entities and disclosing terms returns
+Repeated rows are each rewritten, and count as one document.  A document without entities and disclosing terms returns
 unchanged, to the byte.  An empty table gives no rows.  Only doc_id and text are read.
 """
 
@@ -98,8 +99,25 @@ def blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def with_copies(texts: DataFrame, store: Written) -> tuple[DataFrame, int]:
+    """text, copies (rows that have this text) and the number of distinct texts; only hashes are shuffled."""
+    h = F.xxhash64("text")
+    groups = texts.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("copies"))
+    total = groups.agg(F.count(F.lit(1))).first()[0]
+    repeated = store.put(groups.where("copies > 1"), "copies")
+    n = repeated.count()
+    if not n:
+        return texts.withColumn("copies", F.lit(1).cast("long")), total
+    side = F.broadcast(repeated) if n <= 4_000_000 else repeated  # 16 bytes a text: 64 MB at most, else a sort-merge join
+    return texts.withColumn("h", h).join(side, "h", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies")), total
+
+
 def observations(text: str, window: int) -> dict[tuple[int, str | None], int]:
-    """(entity, term) -> hash of the term's neighbours at its first place near the entity; term None: the entity itself."""
+    """(entity, term) -> hash of the whole text, for each term near the entity; term None: the entity itself."""
     spans = entities(text)
     out: dict[tuple[int, str | None], int] = {}
     if not spans:
@@ -110,15 +128,15 @@ def observations(text: str, window: int) -> dict[tuple[int, str | None], int]:
         toks.append((None, xxhash.xxh3_64_intdigest(f"{name} {text[start:end].lower()}") - (1 << 63)))
         at = end
     toks += [(w, 0) for w in WORDS.findall(text[at:].lower())]
+    whole = text_hash(text)
     for i, (w, entity) in enumerate(toks):
         if w is not None:
             continue
-        out.setdefault((entity, None), 0)
+        out[entity, None] = whole
         for j in range(max(0, i - window), min(len(toks), i + window + 1)):
             term = toks[j][0]
             if term is not None and len(term) > 2:
-                beside = f"{toks[j - 1][0] if j else ''} {toks[j + 1][0] if j + 1 < len(toks) else ''}"
-                out.setdefault((entity, term), xxhash.xxh3_64_intdigest(beside) - (1 << 63))
+                out[entity, term] = whole
     return out
 
 
@@ -127,20 +145,21 @@ def disclosing_terms(docs: DataFrame, p: Params) -> DataFrame:
     spark = docs.sparkSession
     store = Written(spark)
     texts = docs.select(col("text").alias("text")).where("text is not null")
-    window, kind = p.window, pa.schema([("entity", pa.int64()), ("term", pa.string()), ("beside", pa.int64())])
+    window, kind = p.window, pa.schema([("entity", pa.int64()), ("term", pa.string()), ("whole", pa.int64())])
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(e, t, h) for text in b["text"].to_pylist() for (e, t), h in observations(text, window).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
 
-    seen = texts.mapInArrow(observe, "entity long, term string, beside long").groupBy("entity", "term")
-    seen = store.put(seen.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("beside").alias("contexts")), "seen")
-    joint = seen.where(F.col("term").isNotNull() & (F.col("n") >= p.min_joint) & (F.col("contexts") >= p.min_joint) & (2 * F.col("contexts") >= F.col("n")))
+    seen = texts.mapInArrow(observe, "entity long, term string, whole long").groupBy("entity", "term")
+    seen = store.put(seen.agg(F.count_distinct("whole").alias("n")), "seen")
+    joint = seen.where(F.col("term").isNotNull() & (F.col("n") >= p.min_joint))
     nothing = spark.createDataFrame([], "term string, ratio double")
     terms = store.put(joint.select("term").distinct(), "terms")
     if not terms.count():
         return nothing
+    texts, n_docs = with_copies(texts, store)
     counted = None
     for part in sliced(terms, p.slice_terms):
         shared = spark.sparkContext.broadcast(frozenset(part))
@@ -148,11 +167,12 @@ def disclosing_terms(docs: DataFrame, p: Params) -> DataFrame:
         def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             wanted = shared.value
             for b in batches:
-                yield pa.RecordBatch.from_pydict({"term": pa.array([w for text in b["text"].to_pylist() for w in wanted.intersection(WORDS.findall(text.lower()))], pa.string())})
+                found = [(w, n) for text, n in zip(b["text"].to_pylist(), b["copies"].to_pylist(), strict=True) for w in wanted.intersection(WORDS.findall(text.lower()))]
+                yield pa.RecordBatch.from_pydict({"term": pa.array([w for w, _ in found], pa.string()), "copies": pa.array([n for _, n in found], pa.int64())})
 
-        one = texts.mapInArrow(hits, "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        rows = texts.mapInArrow(hits, "term string, copies long").groupBy("term", "copies").agg(F.count(F.lit(1)).alias("n"))
+        one = rows.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t"))
         counted = one if counted is None else counted.unionByName(one)
-    n_docs = texts.count()
     alone = seen.where("term is null").select("entity", F.col("n").alias("n_c"))
     pmi = F.log2(F.col("n") * F.lit(float(n_docs)) / (F.col("n_c") * F.col("n_t")))
     ic = F.log2(F.lit(float(n_docs)) / F.col("n_c"))

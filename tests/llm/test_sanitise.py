@@ -118,3 +118,17 @@ def test_mention_far_inside_a_very_long_text(spark):
     text = "word " * 300_000 + "bob@example.com" + " word" * 300_000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert sanitise.sanitise(docs).first().text == text.replace("bob@example.com", "[EMAIL]")
+
+
+def test_a_name_always_written_in_one_place_discloses(spark):
+    """Different documents with one signature are evidence, copies of a text are not, in any count."""
+    texts = [f"report {i} on subject {i * 7 % 13} ends here. Regards, Jane Zorblatt, jane@x.com" for i in range(50)]
+    texts += [f"filler number {i}" for i in range(150)]
+    texts += ["one quimby text was sent to ann.lee@example.com and copied"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.term: r.ratio for r in sanitise.disclosing_terms(docs, sanitise.Params()).collect()}
+    assert abs(got["zorblatt"] - 1) < 1e-9 and abs(got["jane"] - 1) < 1e-9 and "quimby" not in got
+    done = {r.doc_id: r for r in sanitise.sanitise(docs).collect()}
+    assert not any("Zorblatt" in r.text or "Jane" in r.text for r in done.values())
+    once = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id long, text string")
+    assert {r.term: r.ratio for r in sanitise.disclosing_terms(once, sanitise.Params()).collect()} == got

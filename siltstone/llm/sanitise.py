@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Written, col, small_batches
 
 WORDS = re.compile(r"\w+")
-DIGITS = re.compile(r"\d\d")
+DIGITS = re.compile(r"\d\d|\d\.\d")  # without one of these no pattern of NUMBERS can match
 CREDENTIAL = re.compile(
     r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[pousr]_\w{20,}|(?<!\w)xox[abprs]-[\w-]{10,}|(?<!\w)sk-[\w-]{16,}|(?<!\w)eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*"
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"

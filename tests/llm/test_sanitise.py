@@ -132,3 +132,8 @@ def test_a_name_always_written_in_one_place_discloses(spark):
     assert not any("Zorblatt" in r.text or "Jane" in r.text for r in done.values())
     once = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id long, text string")
     assert {r.term: r.ratio for r in sanitise.disclosing_terms(once, sanitise.Params()).collect()} == got
+
+
+def test_addresses_of_single_digits():
+    assert sanitise.rewrite("dns 1.1.1.1 or 8.8.8.8, never v1.2.3", {}, 0.95)[:2] == ("dns [IP] or [IP], never v1.2.3", 2)
+    assert sanitise.observations("resolver at 8.8.8.8", 10)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokencount
 from .common import Written, col, row_key, struct
 from pyspark.sql import types as T
 
@@ -129,12 +130,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
+def packed_tokens(docs: DataFrame, p: Params | None = None, tokenizer: tokencount.Params | None = None) -> DataFrame:
+    """``packed`` by the tokenizer's exact lengths: texts without spaces are cut as well."""
+    return packed(docs, p, tokencount.counted_column(docs, tokenizer).getField("n_tokens"))
+
+
 def packed(docs: DataFrame, p: Params | None = None, length: Column | None = None) -> DataFrame:
     """doc_id, piece, n_tokens, tier (its size), window_id, offset, step_group: one row for each piece."""
     p = p or Params()
     spark = docs.sparkSession
     top = max(p.tiers)
-    lens = Written(spark).put(docs.select(col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), (n_words(col("text")) if length is None else length).cast("long").alias("n")), "lengths")
+    lens = Written(spark).put(docs.select(col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), (n_words(col("text")) if length is None else F.coalesce(length, F.lit(0))).cast("long").alias("n")), "lengths")
     total = lens.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top)))).first()[0] or 0
     shards = max(1, math.ceil(total / p.shard_pieces))
     pieces = lens.where("n > 0").select("doc_id", "key", F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {top}), i -> cast(least({top}L, n - i * {top}L) as int))")).alias("piece", "n_tokens"))

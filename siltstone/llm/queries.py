@@ -29,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_packing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-ALL = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_sanitise, op4_simhash, op5_packing, op6_neighbours, op7_decontaminate, op8_merkle_audit, op9_secrets, op10_language)}
+ALL = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_sanitise, op4_simhash, op5_packing, op5_packing_tokens, op6_neighbours, op7_decontaminate, op8_merkle_audit, op9_secrets, op10_language)}
 
 _TREE = """
 {n}0 AS (SELECT archive_id >> 12 AS segment, archive_id, row_number() OVER w - 1 AS node, page_id,

@@ -133,8 +133,8 @@ def packed_table(pieces: list[str], p: Params) -> tuple[str, bytes]:
     return "\0".join(w for w, _ in short), bytes(n for _, n in short)
 
 
-def token_counts(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens: one row for each input row."""
+def counted_column(docs: DataFrame, p: Params | None = None):
+    """struct<n_pretokens: long, n_tokens: long> of ``text``."""
     p = p or Params()
     spark = docs.sparkSession
     small_batches(spark)
@@ -156,8 +156,12 @@ def token_counts(docs: DataFrame, p: Params | None = None) -> DataFrame:
             n, t = ([None if x is None else x[i] for x in out] for i in (0, 1))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(t, pa.int64())], fields=list(kind))
 
-    counted = F.arrow_udf(run, "n_pretokens long, n_tokens long")(col("text"))
-    return docs.select(col("doc_id").alias("doc_id"), counted.alias("r")).select("doc_id", "r.*")
+    return F.arrow_udf(run, "n_pretokens long, n_tokens long")(col("text"))
+
+
+def token_counts(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens: one row for each input row."""
+    return docs.select(col("doc_id").alias("doc_id"), counted_column(docs, p).alias("r")).select("doc_id", "r.*")
 
 
 def brute_counts(texts: list[str | None], p: Params) -> list[int | None]:

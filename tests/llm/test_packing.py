@@ -106,3 +106,16 @@ def test_order_of_rows_does_not_matter(odd_docs):
 
 def test_empty_table(no_docs):
     assert packing.packed(no_docs).collect() == []
+
+
+def test_exact_tokens_cut_texts_without_spaces(spark):
+    from siltstone.llm import tokencount
+
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), "some plain words", "", None]
+    rows = packing.packed_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    lengths = [n or 0 for n in tokencount.brute_counts(texts, tokencount.Params())]
+    check(rows, packing.Params(), lengths)
+    for i, n in enumerate(lengths):
+        assert sum(r.n_tokens for r in rows if r.doc_id == i) == n and any(r.doc_id == i for r in rows)
+    assert lengths[0] > 8192 and sum(r.doc_id == 0 for r in rows) > 1

@@ -1,15 +1,16 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-Candidates are strings in a sensitive context: assigned to a name such as ``password`` or ``token``,
-bearing a provider's prefix (``AKIA``, ``ghp_``), standing shortly behind a sensitive word, or a PEM
-block.  The compressor is primed with a dictionary of code identifiers, sensitive names and usual
+Candidates are strings in a sensitive context: assigned to a name such as ``password`` or ``token``, or
+to an identifier with such a part (``SECRET_KEY_BASE``), bearing a provider's prefix (``AKIA``, ``ghp_``), standing shortly behind a sensitive word or behind
+another such string of its line, or a PEM block.  The compressor is primed with a dictionary of code identifiers, sensitive names and usual
 placeholders.  A candidate's novelty is the number of bytes by which the compressed surroundings
 grow when it is put back in its place, over its length: words, placeholders and repetitions of what
 stands around cost next to nothing, keys cost all their entropy.  Other occurrences of the candidate
 in a sensitive context are cut from its surroundings: they would vouch for each other.  From
 ``min_novelty`` on it is reported.
 
-Edge cases: null and empty texts report nothing.  Overlapping candidates: the first, then the longest.
+Edge cases: null and empty texts report nothing.  Of overlapping candidates that are novel the first is
+reported, then the longest.
 Each occurrence is reported at its offset (characters from 0); repeated rows repeat.  The secret itself
 is never returned, only its first four characters, its length and its SHA-256.  An empty table gives
 no rows; only doc_id and text are read.
@@ -36,9 +37,13 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-"
 RULES = [
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)(?:-----END|\Z)", re.S)),
     ("prefix", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk(?:-|_live_)[A-Za-z0-9_-]{16,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)(?![A-Za-z0-9])")),
-    ("assigned", re.compile(rf"(?i:{NAMES})[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"',;]{{8,}})")),
-    ("near", re.compile(rf"(?i:\b(?:{NAMES})\b)[^\n]{{0,40}}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{{20,}})(?![A-Za-z0-9+/_=-])")),
+    # the name may go on as an identifier: _PROD, .key, Key, a plural s
+    ("assigned", re.compile(rf"(?i:{NAMES})(?:s?(?:[_.-][\w.-]{{0,100}}+|[A-Z0-9]\w{{0,100}}+)?)[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"',;]{{8,}})")),
 ]
+# a sensitive word, alone or as a part of an identifier: SECRET_KEY, authToken
+WORD = re.compile(rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{NAMES})(?:s?(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+REACH = 40  # characters of a line behind a sensitive word, or behind a run in its reach, in which a run may begin
 DICTIONARY = " ".join(
     """import from return class public static void const let var function def self this null none true false string int float bool
     username user name email host hostname port database db url uri path config settings environment env os.environ getenv process.env
@@ -60,14 +65,30 @@ class Params:
     min_bytes: int = 6
 
 
+def near(text: str) -> Iterator[tuple[int, int]]:
+    """Every run in reach of a sensitive word."""
+    words, at = [m.end() for m in WORD.finditer(text)], 0
+    if not words:
+        return
+    end = -1  # of the word or run whose reach counts
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while at < len(words) and words[at] <= a:
+            end = max(end, words[at])
+            at += 1
+        if end >= 0 and a - end <= REACH and "\n" not in text[end:a]:
+            yield a, b
+            end = b
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
+    """All of them, overlapping ones too; a span that several rules find goes by the first."""
     found = [(*m.span(1), name) for name, rule in RULES for m in rule.finditer(text) if m[1]]
-    found.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str]] = []
-    for x in found:
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
-    return out
+    found += [(a, b, "near") for a, b in near(text)]
+    rule = {}
+    for a, b, name in found:
+        rule.setdefault((a, b), name)
+    return [(a, b, rule[a, b]) for a, b in sorted(rule, key=lambda x: (x[0], -x[1]))]
 
 
 class Novelty:
@@ -93,12 +114,14 @@ def without(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> st
 
 
 def scan(text: str | None, novelty: Novelty, p: Params) -> list[dict]:
-    out = []
+    out: list[dict] = []
     found_at: dict[str, list[tuple[int, int]]] = {}
     all_of = candidates(text) if text else []
     for a, b, _ in all_of:
         found_at.setdefault(text[a:b], []).append((a, b))
     for a, b, rule in all_of:
+        if out and a < out[-1]["offset"] + out[-1]["length"]:
+            continue
         found = text[a:b]
         same = found_at[found]
         if len(same) > 1:  # a secret given twice must not vouch for itself

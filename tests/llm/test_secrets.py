@@ -66,3 +66,26 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert secrets.secrets(no_docs).collect() == []
     hit = spark.createDataFrame([(None, 'password = "q8Zr2LmX0vTn5KwYb7Hc"', 1)] * 2 + [(2, "x " * 500_000 + 'password = "q8Zr2LmX0vTn5KwYb7Hc"', 2)], "doc_id long, text string, offset int")
     assert sorted((r.doc_id or 0, r.offset) for r in secrets.secrets(hit).collect()) == [(0, 12), (0, 12), (2, 1_000_012)]
+
+
+def test_every_run_of_the_context_is_measured():
+    rng = random.Random(6)
+    keys = [random_key(rng) for _ in range(3)]
+    at = lambda text: {text[r["offset"] : r["offset"] + r["length"]] for r in scan(text)}
+    assert at("token list: " + " ".join(keys)) == set(keys)
+    assert keys[0] in at(f"token for billing-service-account-01 {keys[0]}")
+    assert at(f"token\n{keys[0]}") == set()
+
+
+def test_sensitive_names_inside_identifiers():
+    rng = random.Random(7)
+    for name in ("SECRET_KEY = '{}'", "SECRET_KEY_BASE: {}", "API_TOKEN_PROD={}", "authTokenValue = '{}'", "my_passwords.main: {}", "the SECRET_KEY here is {}"):
+        key = random_key(rng)
+        text = "Some prose. " + name.format(key) + " More prose."
+        assert any(key == text[r["offset"] : r["offset"] + r["length"]] or key in text[r["offset"] : r["offset"] + r["length"]] for r in scan(text)), name
+
+
+def test_a_plain_candidate_does_not_hide_the_novel_one_it_overlaps():
+    key = "q8Zr2LmX0vTn5KwYb7Hc"
+    text = "x " * 40 + "token: " + "configuration/settings/" * 12 + f"?({key})"
+    assert any(text[r["offset"] :].startswith(key) for r in scan(text))

@@ -77,6 +77,11 @@ def null_counts(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("sampled"), F.coalesce(F.sum(any_null.cast("long")), F.lit(0)).alias("dropped"), *each)
 
 
+def probe_rows(scaled: DataFrame, features: list[str], limits: Limits) -> DataFrame:
+    """The rows that the silhouette is measured on: those of smallest seeded hash, from all over the table."""
+    return scaled.orderBy(F.xxhash64(F.lit(limits.seed), *[quoted(f) for f in features]), *[quoted(f) for f in features]).limit(limits.silhouette_rows)
+
+
 def cluster(df: DataFrame, features: list[str], limits: Limits | None = None, k: int | None = None) -> Clusters:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -93,10 +98,10 @@ def cluster(df: DataFrame, features: list[str], limits: Limits | None = None, k:
         rows = picked.dropna(subset=features).orderBy(*[quoted(f) for f in features]).coalesce(1)
         made = VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
         scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(made).transform(made).select(*[quoted(f) for f in features], "features").cache()
-        probe = scaled.limit(limits.silhouette_rows)
+        probe = probe_rows(scaled, features, limits)
         sweep, best = [], None
         for size in [k] if k else range(limits.k_min, min(limits.k_max, n - 1) + 1):
-            fits = [KMeans(k=size, seed=limits.seed + i, maxIter=50).fit(scaled) for i in range(limits.restarts if k else 3)]
+            fits = [KMeans(k=size, seed=limits.seed + i, maxIter=50).fit(scaled) for i in range(limits.restarts)]
             model = min(fits, key=lambda m: m.summary.trainingCost)
             used = len({*[r.prediction for r in model.transform(probe).select("prediction").distinct().collect()]})
             s = ClusteringEvaluator().evaluate(model.transform(probe)) if used > 1 else -1.0

@@ -213,7 +213,7 @@ def cluster_null_counts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cluster_kmeans_lineitem")
 def cluster_kmeans_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = clusters.cluster(table(spark, sf_dir, "lineitem"), CLUSTERED, clusters.Limits(k_max=4))
+    got = clusters.cluster(table(spark, sf_dir, "lineitem"), CLUSTERED, clusters.Limits())
     return rows(spark, "cluster int, size long, " + ", ".join(f"{c} double" for c in CLUSTERED), [(i, n, *[m[c] for c in CLUSTERED]) for i, (n, m) in enumerate(zip(got.sizes, got.centroids, strict=True))])
 
 

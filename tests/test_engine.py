@@ -222,3 +222,13 @@ def test_command_line(spark, shop, tmp_path, capsys):
     assert len(call("explore", "map")[1]["data"]["datasets"]) == 7
     assert call("maintain", "snapshot")[1]["ok"] and call("maintain", "schema")[1]["data"] == []
     assert call("demo", "digest")[1]["data"]["digest"] == demo.digest()
+
+
+def test_silhouette_rows_come_from_all_of_the_table(spark):
+    from siltstone.operators import cluster
+
+    rows = spark.range(2000).selectExpr("cast(id as double) AS a", "cast(id % 7 as double) AS b").orderBy("a").coalesce(1)
+    limits = cluster.Limits(silhouette_rows=500)
+    got = [r.a for r in cluster.probe_rows(rows, ["a", "b"], limits).collect()]
+    assert len(got) == 500 and 800 < sum(got) / 500 < 1200 and max(got) > 1900
+    assert sorted(got) == sorted(r.a for r in cluster.probe_rows(rows.repartition(5), ["a", "b"], limits).collect())

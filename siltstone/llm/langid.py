@@ -18,7 +18,7 @@ Edge cases: a null, blank or letterless text has no language (``language`` null,
 that shares too few of its n-grams with the landmarks, or scores two languages alike, is rejected
 but keeps the best guess.  Rows with a null label are scored, not trained on.  Without labelled
 rows there is no model: every text with letters has a null language and is accepted.  Repeated
-rows give repeated results; ties between languages go to the first in alphabetical order; an
+rows are each scored, and train as one text; ties between languages go to the first in alphabetical order; an
 empty table gives no rows; other columns are not read, so that clashing names cannot matter.
 """
 
@@ -156,12 +156,10 @@ def sample(docs: DataFrame, p: Params) -> list[tuple[str, str]]:
     h = F.xxhash64(F.col("text"))
     labelled = docs.select(col("lang").alias("lang"), col("text").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy("h")
-    # only (language, hash) travels here; the rank filter prunes before the exchange as well
-    chosen = labelled.select("lang", h.alias("h")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * p.train_per_language)
-    picked = {(r.lang, r.h) for r in chosen.select("lang", "h").distinct().collect()}
-    kept = set()
-    for lang in {a for a, _ in picked}:
-        kept |= {(lang, x) for x in sorted(x for a, x in picked if a == lang)[: p.train_per_language]}
+    # only distinct (language, hash) travel here, combined before the exchange, so that copies of a text take one place
+    texts = labelled.select("lang", h.alias("h")).distinct()
+    chosen = texts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= p.train_per_language)
+    kept = {(r.lang, r.h) for r in chosen.select("lang", "h").collect()}
     if not kept:
         return []
     wanted = docs.sparkSession.createDataFrame(sorted(kept), "lang string, h long")

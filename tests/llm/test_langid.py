@@ -83,6 +83,14 @@ def test_sample_is_bounded_and_repeatable(spark, medium):
     assert a == b and len(a) == 80
 
 
+def test_copies_of_one_text_do_not_crowd_out_the_sample(spark):
+    rows = [(i, "the same english text over and over", "en") for i in range(1000)] + [(1000 + i, f"english text number {i} with words", "en") for i in range(300)]
+    rows += [(2000 + i, f"deutscher text nummer {i} mit worten", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, langid.Params(train_per_language=200))
+    assert len(got) == len(set(got)) == 400 and {a for a, _ in got} == {"en", "de"}
+
+
 def test_acceptance_does_not_depend_on_length():
     """Varied texts of trained languages, of which bounded landmarks know ever fewer distinct n-grams."""
     rng = np.random.default_rng(5)

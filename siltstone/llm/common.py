@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); one of our own where it is unset and all runs on one machine."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _OWN_DIRS:
         own = tempfile.mkdtemp(prefix="siltstone-")
         _OWN_DIRS.append(own)
@@ -56,10 +59,14 @@ class Written:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches that long texts cannot blow up: by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches that long texts cannot blow up: by rows and by bytes.  These bounds of the session are only ever lowered;
+    no result depends on them."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        now = int(now) if now.isdigit() else 0  # 0 and less: no bound, else maybe with a unit
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def without_clash(df: DataFrame, reserved: Iterable[str]) -> DataFrame:

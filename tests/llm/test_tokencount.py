@@ -1,3 +1,5 @@
+import random
+
 from siltstone.llm import queries
 from siltstone.llm import tokencount as tc
 
@@ -38,3 +40,22 @@ def test_summary_keeps_frequent_pieces():
 def test_frequent_over_many_partitions(spark):
     docs = spark.createDataFrame([(i, f" alpha beta w{i}") for i in range(200)], "doc_id long, text string").repartition(9)
     assert set(tc.frequent_pretokens(docs, tc.Params(frequent=4, fan_in=2))) >= {" alpha", " beta"}
+
+
+def test_pieces_of_any_text_add_up():
+    """Every border of pieces is one of pre-tokens, whatever white space, marks and scripts surround it."""
+    p = tc.Params()
+    measure = tc.measurer(p)
+    pieces = tc.Pieces({}, 1000, measure, tc.bulk_measurer(p))
+    rng = random.Random(1)
+    alphabet = [" ", " ", " ", "\n", "\n", "\t", "\xa0", "\x1c", "\x85", "\u3000", "\r\n", "  ", "a", "b", "word", "y ", ".\n", "'s", "é", "\u4e2d", "\u017f", "1", "\u00b2", ".", "!", "_", "\x00", "e\u0301"]
+    for _ in range(3000):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(5)] + [None]
+        assert pieces.totals(texts) == [None if t is None else measure(t) for t in texts]
+
+
+def test_other_patterns_are_split_whole(odd_docs):
+    other = tc.Params(pattern=r"\s+|\S+")
+    got = {(r.doc_id, r.n_pretokens, r.n_tokens) for r in tc.token_counts(odd_docs, other).collect()}
+    texts = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert got == {(d, None if t is None else len(tc.splitter(other)(t)), n) for (d, t), n in zip(texts, tc.brute_counts([t for _, t in texts], other), strict=True)}

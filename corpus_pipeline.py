@@ -35,8 +35,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into training windows."""
-    return packing.packed(docs)
+    """Documents are packed into training windows of token ids."""
+    return packing.token_windows(docs)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", decontaminate), ("private", private), ("pack", pack)]

@@ -8,12 +8,16 @@ left of a shorter tier is packed in windows of its own.  Windows of a tier form
 ``step_tokens`` tokens; the windows are dealt to the groups heaviest first, by attention cost (sum
 of squared lengths), each to the lightest group with room, so that steps weigh alike.
 
-Only ids and lengths travel: pieces are spread over packing shards of a bounded number of pieces by a
-hash, each packed on its own.
+Lengths are the exact token counts of the tokenizer (``tokencount``); another length column can be given.  ``packed``
+gives the layout, a row for each piece: only ids and lengths travel.  ``token_windows`` gives the windows themselves, a row
+for each with its token ids, the documents and their borders.  Pieces are spread over packing shards by a hash, each
+of a bounded number of pieces (and of tokens, where those travel) and packed on its own.  Rows repeated in id and
+text, of which there may be any number, are spread by their place in the table as well.
 
-Edge cases: null and wordless texts have length 0; they are returned with null window columns.  Equal
+Edge cases: null and empty texts have length 0; they are returned with null window columns.  Equal
 lengths are packed in order of id (null ids last), then of row hash.  Repeated rows are packed
-each.  An empty table gives no rows.  Only doc_id and text are read, other columns never.
+each.  An empty table gives no rows.  Very long texts are cut, never shortened.  Only doc_id, which keeps its type,
+and text are read, other columns never.
 """
 
 from __future__ import annotations
@@ -24,15 +28,16 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokencount
-from .common import Written, col, row_key, struct
-from pyspark.sql import types as T
+from .common import Written, col, row_key, small_batches, struct
 
-FIELDS = [("doc_id", T.LongType()), ("piece", T.IntegerType()), ("n_tokens", T.IntegerType()), ("tier", T.IntegerType()), ("window_id", T.StringType()), ("offset", T.IntegerType()), ("step_group", T.StringType())]
+PLACED = [("piece", T.IntegerType()), ("n_tokens", T.IntegerType()), ("tier", T.IntegerType()), ("window_id", T.StringType()), ("offset", T.IntegerType()), ("step_group", T.StringType())]
 
 
 @dataclass
@@ -40,6 +45,7 @@ class Params:
     tiers: tuple[int, ...] = (512, 2048, 8192)
     step_tokens: int = 65536
     shard_pieces: int = 100_000
+    shard_tokens: int = 1 << 23  # where token ids travel
 
 
 class Space:
@@ -126,55 +132,141 @@ def pack(lengths: list[int], p: Params) -> tuple[list[int], list[int], list[int]
 
 
 def n_words(text: Column) -> Column:
-    """Whitespace-separated words: the length unit where no tokenizer is asked for."""
+    """Whitespace-separated words, a length for those who have no tokenizer."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
-def packed_tokens(docs: DataFrame, p: Params | None = None, tokenizer: tokencount.Params | None = None) -> DataFrame:
-    """``packed`` by the tokenizer's exact lengths: texts without spaces are cut as well."""
-    return packed(docs, p, tokencount.counted_column(docs, tokenizer).getField("n_tokens"))
+def spread(rows: DataFrame, p: Params, store: Written, carried: bool) -> tuple[DataFrame, int]:
+    """The pieces of rows (doc_id, key, n[, tokens]) with the shard of each, and the number of shards."""
+    top = max(p.tiers)
+    sums = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top))), F.sum("n")).first()
+    shards = max(1, math.ceil((sums[0] or 0) / p.shard_pieces), math.ceil((sums[1] or 0) / p.shard_tokens) if carried else 0)
+    place = F.lit(0).cast("long")
+    if shards > 1:
+        again = store.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "again")
+        n = again.count()
+        if n:
+            side = F.broadcast(again) if n <= 1_000_000 else again  # 8 bytes a key
+            rows = rows.join(side.withColumn("twice", F.lit(True)), "key", "left")
+            place = F.when(F.col("twice"), F.monotonically_increasing_id()).otherwise(place)
+    rows = rows.withColumn("place", place)
+    cut = [F.expr(f"slice(tokens, cast(piece * {top} + 1 as int), {top})").alias("tokens")] if carried else []
+    pieces = rows.where("n > 0").select("doc_id", "key", "place", *(["tokens"] if carried else []), F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {top}), i -> cast(least({top}L, n - i * {top}L) as int))")).alias("piece", "n_tokens"))
+    at = F.pmod(F.xxhash64("doc_id", "key", "piece", "place"), F.lit(shards)).cast("int")
+    return pieces.select("doc_id", "key", "piece", "n_tokens", *cut, at.alias("shard")).repartitionById(shards, F.col("shard")), shards
+
+
+def shard_of(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, int, list[int], list[int]] | None:
+    """A shard's pieces, its number, their canonical order and lengths."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    t = pa.Table.from_batches(held)
+    ids, keys, piece = (t[c].to_pylist() for c in ("doc_id", "key", "piece"))
+    nothing = next((x for x in ids if x is not None), 0)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, nothing if ids[i] is None else ids[i], keys[i], piece[i]))
+    return t, t["shard"][0].as_py(), order, t["n_tokens"].to_pylist()
+
+
+def lengths_of(docs: DataFrame, length: Column | None, tokenizer: tokencount.Params | None, store: Written) -> DataFrame:
+    n = tokencount.counted_column(docs, tokenizer).getField("n_tokens") if length is None else length
+    return store.put(docs.select(col("doc_id").alias("doc_id"), row_key(docs).alias("key"), F.coalesce(n, F.lit(0)).cast("long").alias("n")), "lengths")
 
 
-def packed(docs: DataFrame, p: Params | None = None, length: Column | None = None) -> DataFrame:
+def packed(docs: DataFrame, p: Params | None = None, length: Column | None = None, tokenizer: tokencount.Params | None = None) -> DataFrame:
     """doc_id, piece, n_tokens, tier (its size), window_id, offset, step_group: one row for each piece."""
     p = p or Params()
-    spark = docs.sparkSession
-    top = max(p.tiers)
-    lens = Written(spark).put(docs.select(col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), (n_words(col("text")) if length is None else F.coalesce(length, F.lit(0))).cast("long").alias("n")), "lengths")
-    total = lens.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top)))).first()[0] or 0
-    shards = max(1, math.ceil(total / p.shard_pieces))
-    pieces = lens.where("n > 0").select("doc_id", "key", F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {top}), i -> cast(least({top}L, n - i * {top}L) as int))")).alias("piece", "n_tokens"))
-    spread = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.lit(shards)).cast("int"))
-    out_type = struct(*FIELDS)
+    store = Written(docs.sparkSession)
+    lens = lengths_of(docs, length, tokenizer, store)
+    pieces, _ = spread(lens, p, store, False)
+    fields = [("doc_id", lens.schema["doc_id"].dataType), *PLACED]
     tiers = sorted(p.tiers)
-    kind = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("tier", pa.int32()), ("window_id", pa.string()), ("offset", pa.int32()), ("step_group", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        got = shard_of(batches)
+        if got is None:
             return
-        t = pa.Table.from_batches(held).to_pydict()
-        shard = t["shard"][0]
-        order = sorted(range(len(t["key"])), key=lambda i: (t["doc_id"][i] is None, t["doc_id"][i] or 0, t["key"][i], t["piece"][i]))
-        lengths = [t["n_tokens"][i] for i in order]
+        t, shard, order, n = got
+        lengths = [n[i] for i in order]
         window, offset, tier, group = pack(lengths, p)
         for at in range(0, len(order), 10_000):
             k = range(at, min(at + 10_000, len(order)))
-            rows = [order[i] for i in k]
+            rows = t.select(["doc_id", "piece", "n_tokens"]).take([order[i] for i in k]).combine_chunks()
             w = [window[i] for i in k]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": [t["doc_id"][i] for i in rows],
-                    "piece": [t["piece"][i] for i in rows],
-                    "n_tokens": [t["n_tokens"][i] for i in rows],
-                    "tier": [tiers[tier[x]] for x in w],
-                    "window_id": [f"{shard}-{x}" for x in w],
-                    "offset": [offset[i] for i in k],
-                    "step_group": [f"{shard}-{tiers[tier[x]]}-{group[x]}" for x in w],
-                },
-                schema=kind,
-            )
+            columns = {
+                "tier": pa.array([tiers[tier[x]] for x in w], pa.int32()),
+                "window_id": pa.array([f"{shard}-{x}" for x in w], pa.string()),
+                "offset": pa.array([offset[i] for i in k], pa.int32()),
+                "step_group": pa.array([f"{shard}-{tiers[tier[x]]}-{group[x]}" for x in w], pa.string()),
+            }
+            for name, values in columns.items():
+                rows = rows.append_column(name, values)
+            yield from rows.to_batches()
 
-    done = spread.repartitionById(shards, F.col("shard")).mapInArrow(run, out_type)
-    empty = lens.where("n <= 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), *[F.lit(None).cast(kind).alias(n) for n, kind in FIELDS[3:]])
+    done = pieces.mapInArrow(run, struct(*fields))
+    empty = lens.where("n <= 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), *[F.lit(None).cast(kind).alias(n) for n, kind in PLACED[2:]])
     return done.unionByName(empty)
+
+
+def token_column(docs: DataFrame, tokenizer: tokencount.Params | None = None) -> Column:
+    """The token ids of ``text``; null for a null text."""
+    t = tokenizer or tokencount.Params()
+    shared = docs.sparkSession.sparkContext.broadcast(tokencount.vocabulary(t))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = tokencount.encoder(t, shared.value).encode_ordinary
+        for texts in batches:
+            yield pa.array([None if x is None else encode(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(col("text"))
+
+
+def token_windows(docs: DataFrame, p: Params | None = None, tokenizer: tokencount.Params | None = None) -> DataFrame:
+    """window_id, tier, step_group, n_tokens, doc_ids, pieces, lengths, token_ids: one row for each window.
+
+    ``lengths`` cuts ``token_ids`` into the pieces, in order; the pieces of a document, in order, are its tokens.  A document
+    without tokens has a row of its own with a null window_id."""
+    p = p or Params()
+    spark = docs.sparkSession
+    small_batches(spark)
+    store = Written(spark)
+    tokens = docs.select(col("doc_id").alias("doc_id"), row_key(docs).alias("key"), token_column(docs, tokenizer).alias("tokens"))
+    rows = store.put(tokens.select("doc_id", "key", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n"), "tokens").withColumn("n", F.greatest("n", F.lit(0).cast("long"))), "tokens")
+    pieces, _ = spread(rows, p, store, True)
+    kind = rows.schema["doc_id"].dataType
+    ints = T.ArrayType(T.IntegerType())
+    fields = [("window_id", T.StringType()), ("tier", T.IntegerType()), ("step_group", T.StringType()), ("n_tokens", T.IntegerType()), ("doc_ids", T.ArrayType(kind)), ("pieces", ints), ("lengths", ints), ("token_ids", ints)]
+    tiers = sorted(p.tiers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = shard_of(batches)
+        if got is None:
+            return
+        t, shard, order, n = got
+        window, offset, tier, group = pack([n[i] for i in order], p)
+        inside: list[list[int]] = [[] for _ in tier]
+        for i, w in enumerate(window):
+            inside[w].append(i)
+        for at in range(0, len(tier), 256):
+            some = range(at, min(at + 256, len(tier)))
+            rows = [order[i] for w in some for i in sorted(inside[w], key=offset.__getitem__)]
+            ends = np.cumsum([0, *(len(inside[w]) for w in some)]).astype(np.int32)
+            part = t.take(rows).combine_chunks()
+            ids, flat = part["doc_id"].combine_chunks(), part["tokens"].combine_chunks()
+            sizes = np.array([n[i] for i in rows], np.int64)
+            long = np.r_[0, np.cumsum(sizes)][ends].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, ids), (ends, part["piece"].combine_chunks()), (ends, part["n_tokens"].combine_chunks()), (long, flat.flatten()))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f"{shard}-{w}" for w in some], pa.string()),
+                    pa.array([tiers[tier[w]] for w in some], pa.int32()),
+                    pa.array([f"{shard}-{tiers[tier[w]]}-{group[w]}" for w in some], pa.string()),
+                    pa.array(np.diff(long), pa.int32()),
+                    *lists,
+                ],
+                names=[f for f, _ in fields],
+            )
+
+    done = pieces.mapInArrow(run, struct(*fields))
+    alone = rows.where("n = 0").select(*[F.lit(None).cast(k).alias(c) for c, k in fields[:3]], F.lit(0).alias("n_tokens"), F.array("doc_id").alias("doc_ids"), *[F.array(F.lit(x)).cast(ints).alias(c) for c, x in (("pieces", 0), ("lengths", 0))], F.array().cast(ints).alias("token_ids"))
+    return done.unionByName(alone)

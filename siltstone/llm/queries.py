@@ -29,8 +29,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-def op5_packing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_tokens(table(spark, sf_dir, "documents"))
+def op5_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.token_windows(table(spark, sf_dir, "documents"))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,39 +61,51 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-ALL = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_sanitise, op4_simhash, op5_packing, op5_packing_tokens, op6_neighbours, op7_decontaminate, op8_merkle_audit, op9_secrets, op10_language)}
+ALL = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_sanitise, op4_simhash, op5_packing, op5_packing_windows, op6_neighbours, op7_decontaminate, op8_merkle_audit, op9_secrets, op10_language)}
 
 _TREE = """
-{n}0 AS (SELECT archive_id >> 12 AS segment, archive_id, row_number() OVER w - 1 AS node, page_id,
-    sum(size) OVER (w ROWS UNBOUNDED PRECEDING) - size AS start_offset, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS end_offset, hash
-  FROM (SELECT page_id, coalesce(page_id >> 12, -1) AS archive_id, strlen(r) AS size, sha256(r) AS hash FROM (SELECT page_id,
+{n}0 AS (SELECT page_id, digest, max(size) AS size, count(*) AS copies, CASE WHEN count(*) > 1 THEN digest || 'x' || count(*) ELSE digest END AS hash
+  FROM (SELECT page_id, strlen(r) AS size, sha256(r) AS digest FROM (SELECT page_id,
     'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '')
-    || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS r FROM (SELECT page_id, url, {html} AS html, chr(13) || chr(10) AS e FROM pages)))
-  WINDOW w AS (PARTITION BY archive_id ORDER BY page_id, hash)),
-{n}1 AS (SELECT segment, archive_id, node // 16 AS node, min(start_offset) AS start_offset, max(end_offset) AS end_offset, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM {n}0 GROUP BY 1, 2, 3),
-{n}2 AS (SELECT segment, archive_id, node // 16 AS node, min(start_offset) AS start_offset, max(end_offset) AS end_offset, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM {n}1 GROUP BY 1, 2, 3),
-{n}3 AS (SELECT segment, archive_id, node // 16 AS node, min(start_offset) AS start_offset, max(end_offset) AS end_offset, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM {n}2 GROUP BY 1, 2, 3),
-{n}4 AS (SELECT segment, archive_id, 0 AS node, min(start_offset) AS start_offset, max(end_offset) AS end_offset, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM {n}3 GROUP BY 1, 2),
-{n}5 AS (SELECT segment, NULL::BIGINT AS archive_id, 0 AS node, 0 AS start_offset, sum(end_offset) AS end_offset, sha256(string_agg(hash, '' ORDER BY archive_id)) AS hash FROM {n}4 GROUP BY 1),
-{n}6 AS (SELECT NULL::BIGINT AS segment, NULL::BIGINT AS archive_id, 0 AS node, 0 AS start_offset, sum(end_offset) AS end_offset, sha256(string_agg(hash, '' ORDER BY segment)) AS hash FROM {n}5 HAVING count(*) > 0)"""
-
-_LEVEL = """SELECT {k}::INTEGER AS level, coalesce(a.segment, b.segment)::BIGINT AS segment, coalesce(a.archive_id, b.archive_id)::BIGINT AS archive_id, coalesce(a.node, b.node)::BIGINT AS node,
-  {page}::BIGINT AS page_id, coalesce(a.start_offset, b.start_offset)::BIGINT AS start_offset, coalesce(a.end_offset, b.end_offset)::BIGINT AS end_offset, a.hash AS primary_hash, b.hash AS replica_hash
-FROM a{k} a FULL JOIN b{k} b ON a.node = b.node AND {on} {where}"""
+    || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS r FROM (SELECT page_id, url, {html} AS html, chr(13) || chr(10) AS e FROM pages))) GROUP BY page_id, digest),
+{n}g AS (SELECT page_id, left(digest, 3) AS prefix, sum(size * copies) AS bytes, sha256(string_agg(hash, ',' ORDER BY hash)) AS hash FROM {n}0 GROUP BY 1, 2),
+{n}1 AS (SELECT page_id AS node, page_id >> 4 AS up, sum(bytes) AS bytes, sha256(string_agg(bytes || ':' || hash, ';' ORDER BY prefix)) AS hash FROM {n}g GROUP BY 1, 2),
+""" + ",\n".join(
+    f"""{{n}}{k}s AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY up ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {{n}}{k}),
+{{n}}{k + 1} AS (SELECT up AS node, {'up >> ' + str(shift) if shift else '0'} AS up, sum(bytes) AS bytes, sha256(string_agg(start || ':' || (start + bytes) || ':' || hash, ';' ORDER BY node)) AS hash FROM {{n}}{k}s GROUP BY 1, 2)"""
+    for k, shift in ((1, 4), (2, 4), (3, 12), (4, 0), (5, 0))
+)
+
+# the start of a node in its archive is that of its parent and its own
+_STARTS = """,
+{n}p3 AS (SELECT node, up, start AS place, bytes, hash FROM {n}3s),
+{n}p2 AS (SELECT c.node, c.up, p.place + c.start AS place, c.bytes, c.hash FROM {n}2s c JOIN {n}p3 p ON c.up IS NOT DISTINCT FROM p.node),
+{n}p1 AS (SELECT c.node, c.up, p.place + c.start AS place, c.bytes, c.hash FROM {n}1s c JOIN {n}p2 p ON c.up IS NOT DISTINCT FROM p.node),
+{n}p0 AS (SELECT r.page_id, r.digest, p.place + sum(size * copies) OVER (PARTITION BY page_id ORDER BY digest ROWS UNBOUNDED PRECEDING) AS done, size * copies AS bytes, r.hash FROM {n}0 r JOIN {n}p1 p ON r.page_id IS NOT DISTINCT FROM p.node),
+{n}p4 AS (SELECT node, up, 0 AS place, bytes, hash FROM {n}4),
+{n}p5 AS (SELECT node, up, 0 AS place, bytes, hash FROM {n}5),
+{n}p6 AS (SELECT node, up, 0 AS place, bytes, hash FROM {n}6)"""
+
+_LEVEL = """SELECT {k}::INTEGER AS level, {segment}::BIGINT AS segment, {archive}::BIGINT AS archive_id, node::BIGINT AS node, {page}::BIGINT AS page_id, place::BIGINT AS start_offset, (place + bytes)::BIGINT AS end_offset, primary_hash, replica_hash
+FROM (SELECT CASE WHEN a.hash IS NULL THEN b.node ELSE a.node END AS node, coalesce(a.place, b.place) AS place, CASE WHEN a.hash IS NULL THEN b.bytes ELSE a.bytes END AS bytes, a.hash AS primary_hash, b.hash AS replica_hash FROM ap{k} a FULL JOIN bp{k} b ON a.node IS NOT DISTINCT FROM b.node) {where}"""
+
+_RECORDS = """,
+d AS (SELECT CASE WHEN a.hash IS NULL THEN b.page_id ELSE a.page_id END AS page_id, a.done - a.bytes AS a_start, a.done AS a_end, a.hash AS a_hash, b.done - b.bytes AS b_start, b.done AS b_end, b.hash AS b_hash
+  FROM ap0 a FULL JOIN bp0 b ON a.page_id IS NOT DISTINCT FROM b.page_id AND a.digest = b.digest WHERE a.hash IS DISTINCT FROM b.hash),
+c AS (SELECT *, count(*) FILTER (b_hash IS NULL) OVER w = 1 AND count(*) FILTER (a_hash IS NULL) OVER w = 1 AND (a_hash IS NULL OR b_hash IS NULL) AS paired FROM d WINDOW w AS (PARTITION BY page_id)),
+m AS (SELECT page_id, a_start, a_end, a_hash, b_start, b_end, b_hash FROM c WHERE NOT paired
+  UNION ALL SELECT page_id, max(a_start), max(a_end), max(a_hash), max(b_start), max(b_end), max(b_hash) FROM c WHERE paired GROUP BY page_id)
+SELECT 0::INTEGER AS level, (page_id >> 24)::BIGINT AS segment, (page_id >> 12)::BIGINT AS archive_id, page_id::BIGINT AS node, page_id::BIGINT AS page_id,
+  coalesce(a_start, b_start)::BIGINT AS start_offset, coalesce(a_end, b_end)::BIGINT AS end_offset, a_hash AS primary_hash, b_hash AS replica_hash FROM m
+"""
+
+_ABOVE = {1: ("node >> 24", "node >> 12", "node"), 2: ("node >> 20", "node >> 8", "NULL"), 3: ("node >> 16", "node >> 4", "NULL"), 4: ("node >> 12", "node", "NULL"), 5: ("node", "NULL", "NULL"), 6: ("NULL", "NULL", "NULL")}
 
 ORACLES = {
     "op8_merkle_audit": "WITH"
-    + _TREE.format(n="a", html="html")
-    + ","
-    + _TREE.format(n="b", html="CASE WHEN sha256(url) < '04' THEN '#' || substr(html, 2) ELSE html END")
-    + "\n"
-    + "\nUNION ALL\n".join(
-        _LEVEL.format(
-            k=k,
-            page="coalesce(a.page_id, b.page_id)" if k == 0 else "NULL",
-            on="a.archive_id = b.archive_id" if k <= 4 else "a.segment = b.segment" if k == 5 else "true",
-            where="WHERE a.hash IS DISTINCT FROM b.hash" if k < 6 else "",
-        )
-        for k in range(7)
+    + ",".join(_TREE.format(n=n, html=html) + _STARTS.format(n=n) for n, html in (("a", "html"), ("b", "CASE WHEN sha256(url) < '04' THEN '#' || substr(html, 2) ELSE html END")))
+    + _RECORDS
+    + "".join(
+        "UNION ALL\n" + _LEVEL.format(k=k, segment=segment, archive=archive, page=page, where="WHERE primary_hash IS DISTINCT FROM replica_hash\n" if k < 6 else "\n") for k, (segment, archive, page) in _ABOVE.items()
     )
 }

@@ -1,19 +1,29 @@
 """Information-theoretic sanitisation.
 
 Protected entities c are the values of personal identifiers and credentials (mail and IP addresses,
-phone, card, account and social numbers, keys and passwords).  IC(c) = log2(N / n_c) over all N
-documents; a term t discloses c by PMI(c; t) = log2(n_ct N / (n_c n_t)), where n_ct counts documents
-in which t stands within ``window`` words of c and n_t all documents with t.  PMI(c; c) = IC(c), so
+phone, card, account and social numbers, keys and passwords), and each class of these values as a whole.
+IC(c) = log2(N / n_c) over all N documents; a term t discloses c by PMI(c; t) = log2(n_ct N / (n_c n_t)), where n_ct counts
+documents in which t stands within ``window`` words of c and n_t all documents with t.  PMI(c; c) = IC(c), so
 every mention of c itself exceeds any threshold and is generalised to its class, ``[EMAIL]``.  A term
-with PMI / IC >= ``remove_at`` is removed, one >= ``generalise_at`` becomes ``[WORD]`` (``[NUMBER]`` if
-it has digits), in whatever document it stands.  An estimate needs ``min_joint`` joint documents.
+with PMI / IC >= ``remove_at`` is removed, one >= ``generalise_at`` becomes ``[WORD]`` (``[NUMBER]`` if it has digits).
+A term that discloses a value (a person's name beside one mail address) goes in whatever document it stands.  A term that
+discloses a class (the ``token =`` before keys) tells what stood beside it, so it goes within ``window`` words of the
+entities of that class; as few values stand in several documents, this is where most evidence is.  For a class, n_ct / n_t is taken at
+the lower end of its 95 % (Wilson) interval, so that a few meetings by chance don't disclose it.  Names of persons are no class;
+they are found as terms.
+
 Documents are distinct texts in all these counts: copies of one text (rows equal in the 64-bit hash of
-the whole text) are one observation, not evidence; where a term stands in its document does not matter.
+the whole text) are one observation.  A pair (c, t) needs ``min_joint`` independent documents.  Edited copies of one
+text are not: texts that agree in the smallest hash of the word pairs beyond the windows are one, and since edits change
+that hash for some copies, each text that repeats one takes ``stray`` off the number.  (Texts with fewer than 8 pairs beyond
+the windows are taken as they are.)  Both are shares of counts, alike at every size.
 
 Classes are sought in the order credential, mail, IP, social, card, phone, account number; what one
 takes the next cannot.  Counts cover all documents and whole texts.  Only entity windows and text hashes are shuffled;
-n_t is counted map-side for the terms in question, which are broadcast in slices of ``slice_terms``: the rows with
-a term are counted by how many copies their text has, and each count is divided by it.
+n_t is counted map-side in one pass for the terms in question, which are broadcast: themselves up to ``slice_terms``, beyond
+that as a Bloom filter of 16 MB, whose false hits the join with the terms drops.  The rows with
+a term are counted by how many copies their text has, and each count is divided by it.  The terms that disclose something are broadcast
+to the one rewriting pass in slices of ``slice_terms``; about 100 bytes a term in each worker.
 
 Edge cases: a null text stays null with zero counts, an empty one empty.  Entities of a
 class are taken from left to right, the longest first, and never overlap.  Ties of a term between entities: the higher ratio counts.
@@ -27,6 +37,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -61,6 +72,7 @@ class Params:
     remove_at: float = 0.95
     generalise_at: float = 0.85
     slice_terms: int = 500_000
+    stray: float = 0.25  # of a text's edited copies, how many may differ in the hash that marks them as such
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -116,91 +128,184 @@ def with_copies(texts: DataFrame, store: Written) -> tuple[DataFrame, int]:
     return texts.withColumn("h", h).join(side, "h", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies")), total
 
 
-def observations(text: str, window: int) -> dict[tuple[int, str | None], int]:
-    """(entity, term) -> hash of the whole text, for each term near the entity; term None: the entity itself."""
+def sightings(text: str, window: int) -> tuple[set[tuple[str, int, str | None]], int, int]:
+    """(class, entity, term) for each term near the entity, term None: the entity itself; hash of the text; hash of what is beyond the windows."""
     spans = entities(text)
-    out: dict[tuple[int, str | None], int] = {}
+    out: set[tuple[str, int, str | None]] = set()
     if not spans:
-        return out
+        return out, 0, 0
     at, toks = 0, []  # words between entities; an entity is one token, (None, its hash)
     for start, end, name in spans:
-        toks += [(w, 0) for w in WORDS.findall(text[at:start].lower())]
-        toks.append((None, xxhash.xxh3_64_intdigest(f"{name} {text[start:end].lower()}") - (1 << 63)))
+        toks += [(w, 0, "") for w in WORDS.findall(text[at:start].lower())]
+        toks.append((None, xxhash.xxh3_64_intdigest(f"{name} {text[start:end].lower()}") - (1 << 63), name))
         at = end
-    toks += [(w, 0) for w in WORDS.findall(text[at:].lower())]
-    whole = text_hash(text)
-    for i, (w, entity) in enumerate(toks):
+    toks += [(w, 0, "") for w in WORDS.findall(text[at:].lower())]
+    beyond, rest = [], 0  # from ``rest`` on no window begins
+    for i, (w, entity, name) in enumerate(toks):
         if w is not None:
             continue
-        out[entity, None] = whole
+        out.add((name, entity, None))
         for j in range(max(0, i - window), min(len(toks), i + window + 1)):
             term = toks[j][0]
-            if term is not None and len(term) > 2:
-                out[entity, term] = whole
-    return out
+            if term is not None:
+                out.add((name, entity, term))
+        beyond.append((rest, max(rest, i - window)))
+        rest = max(rest, i + window + 1)
+    beyond.append((rest, max(rest, len(toks))))
+    whole = text_hash(text)
+    pairs = {f"{toks[j][0]} {toks[j + 1][0]}" for a, b in beyond for j in range(a, b - 1)}
+    mark = min(map(text_hash, pairs)) if len(pairs) >= 8 else whole
+    return out, whole, mark
 
 
-def disclosing_terms(docs: DataFrame, p: Params) -> DataFrame:
-    """term, ratio (PMI / IC, the highest over entities): the terms over a threshold."""
+def observations(text: str, window: int) -> dict[tuple[int, str | None], int]:
+    """(entity, term) -> hash of the whole text, for each term near the entity; term None: the entity itself."""
+    seen, whole, _ = sightings(text, window)
+    return {(entity, term): whole for _, entity, term in seen}
+
+
+class Bloom:
+    """A set of 64-bit hashes in 16 MB; may say yes too often."""
+
+    BITS, HASHES = 27, 4
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << (self.BITS - 3), np.uint8) if bits is None else bits
+
+    def at(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        step = (hashes >> np.uint64(32)) | np.uint64(1)
+        for k in range(self.HASHES):
+            yield (hashes + np.uint64(k) * step) & np.uint64((1 << self.BITS) - 1)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for i in self.at(hashes):
+            np.bitwise_or.at(self.bits, i >> np.uint64(3), np.uint8(1) << (i & np.uint64(7)).astype(np.uint8))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for i in self.at(hashes):
+            out &= (self.bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def wanted_terms(terms: DataFrame, most: int):
+    """The terms as a set, or the bits of a Bloom filter if they are many; the filter is filled by up to 8 tasks."""
+    if terms.count() <= most:
+        return frozenset(r.term for r in terms.toLocalIterator())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bloom()
+        for b in batches:
+            own.add(hashes_of(b["term"].to_pylist()))
+        yield pa.RecordBatch.from_pydict({"bits": [own.bits.tobytes()]})
+
+    all_bits = Bloom()
+    for r in terms.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+        all_bits.bits |= np.frombuffer(r.bits, np.uint8)
+    return all_bits.bits
+
+
+def count_terms(texts: DataFrame, terms: DataFrame, p: Params) -> DataFrame:
+    """term, n_t (distinct texts that have it) from (text, copies), in one pass; has terms besides those asked for."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted_terms(terms, p.slice_terms))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        exact = isinstance(wanted, frozenset)
+        bloom = None if exact else Bloom(wanted)
+        for b in batches:
+            found: list[str] = []
+            copies: list[int] = []
+            for text, n in zip(b["text"].to_pylist(), b["copies"].to_pylist(), strict=True):
+                words = WORDS.findall(text.lower())
+                if exact:
+                    some = wanted.intersection(words)
+                else:
+                    own = list(set(words))
+                    some = [w for w, yes in zip(own, bloom.has(hashes_of(own)).tolist(), strict=True) if yes]
+                found += some
+                copies += [n] * len(some)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "copies": pa.array(copies, pa.int64())})
+
+    rows = texts.mapInArrow(hits, "term string, copies long").groupBy("term", "copies").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t"))
+
+
+def disclosing(docs: DataFrame, p: Params) -> DataFrame:
+    """cls, term, ratio: the terms over a threshold, with cls null those that disclose a value, else those that disclose the class."""
     spark = docs.sparkSession
     store = Written(spark)
     texts = docs.select(col("text").alias("text")).where("text is not null")
-    window, kind = p.window, pa.schema([("entity", pa.int64()), ("term", pa.string()), ("whole", pa.int64())])
+    window = p.window
+    kind = pa.schema([("cls", pa.string()), ("entity", pa.int64()), ("term", pa.string()), ("whole", pa.int64()), ("mark", pa.int64())])
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(e, t, h) for text in b["text"].to_pylist() for (e, t), h in observations(text, window).items()]
+            rows = []
+            for text in b["text"].to_pylist():
+                seen, whole, mark = sightings(text, window)
+                rows += [(None, e, t, whole, mark) for _, e, t in seen]
+                rows += [(c, 0, t, whole, mark) for c, t in {(c, t) for c, _, t in seen}]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
 
-    seen = texts.mapInArrow(observe, "entity long, term string, whole long").groupBy("entity", "term")
-    seen = store.put(seen.agg(F.count_distinct("whole").alias("n")), "seen")
-    joint = seen.where(F.col("term").isNotNull() & (F.col("n") >= p.min_joint))
-    nothing = spark.createDataFrame([], "term string, ratio double")
+    seen = texts.mapInArrow(observe, "cls string, entity long, term string, whole long, mark long").groupBy("cls", "entity", "term", "mark").agg(F.count_distinct("whole").alias("n"))
+    seen = store.put(seen.groupBy("cls", "entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("marks")), "seen")
+    joint = seen.where(F.col("term").isNotNull() & (F.col("marks") - F.lit(p.stray) * (F.col("n") - F.col("marks")) >= p.min_joint))
     terms = store.put(joint.select("term").distinct(), "terms")
-    if not terms.count():
-        return nothing
+    if terms.isEmpty():
+        return spark.createDataFrame([], "cls string, term string, ratio double")
     texts, n_docs = with_copies(texts, store)
-    counted = None
-    for part in sliced(terms, p.slice_terms):
-        shared = spark.sparkContext.broadcast(frozenset(part))
-
-        def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted = shared.value
-            for b in batches:
-                found = [(w, n) for text, n in zip(b["text"].to_pylist(), b["copies"].to_pylist(), strict=True) for w in wanted.intersection(WORDS.findall(text.lower()))]
-                yield pa.RecordBatch.from_pydict({"term": pa.array([w for w, _ in found], pa.string()), "copies": pa.array([n for _, n in found], pa.int64())})
-
-        rows = texts.mapInArrow(hits, "term string, copies long").groupBy("term", "copies").agg(F.count(F.lit(1)).alias("n"))
-        one = rows.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_t"))
-        counted = one if counted is None else counted.unionByName(one)
-    alone = seen.where("term is null").select("entity", F.col("n").alias("n_c"))
-    pmi = F.log2(F.col("n") * F.lit(float(n_docs)) / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.lit(float(n_docs)) / F.col("n_c"))
-    ratio = joint.join(alone, "entity").join(counted, "term").where(F.col("n_c") < n_docs).withColumn("ratio", pmi / ic)
-    return store.put(ratio.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= p.generalise_at), "disclosing")
-
-
-def sliced(terms: DataFrame, size: int) -> Iterator[list[str]]:
-    part: list[str] = []
-    for r in terms.orderBy("term").toLocalIterator():
-        part.append(r.term)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
+    alone = seen.where("term is null").select("cls", "entity", F.col("n").alias("n_c")).where(F.col("n_c") < n_docs)
+    # few entities reach the number that a term needs: they are looked up by a join on both
+    both = joint.alias("j").join(alone.alias("a"), F.col("j.entity").eqNullSafe(F.col("a.entity")) & F.col("j.cls").eqNullSafe(F.col("a.cls")))
+    both = both.select("j.cls", "j.term", "j.n", "a.n_c").join(count_terms(texts, terms, p), "term")
+    share, z = F.col("n") / F.col("n_t"), 1.96
+    low = (share + z * z / (2 * F.col("n_t")) - z * F.sqrt(share * (1 - share) / F.col("n_t") + z * z / (4 * F.col("n_t") * F.col("n_t")))) / (1 + z * z / F.col("n_t"))
+    rate = F.col("n_c") / F.lit(float(n_docs))
+    ratio = F.log2(F.when(F.col("cls").isNull(), share).otherwise(low) / rate) / -F.log2(rate)
+    out = both.withColumn("ratio", ratio).groupBy("cls", "term").agg(F.max("ratio").alias("ratio"))
+    return store.put(out.where(F.col("ratio") >= p.generalise_at), "disclosing")
+
+
+def disclosing_terms(docs: DataFrame, p: Params) -> DataFrame:
+    """term, ratio (PMI / IC, the highest over entities): the terms over a threshold that disclose values."""
+    return disclosing(docs, p).where("cls is null").select("term", "ratio")
+
+
+def near_entities(text: str, spans: list[tuple[int, int, str]], near: dict[str, dict[str, float]], window: int) -> dict[tuple[int, int], float]:
+    """Places of the terms that disclose the class of an entity within ``window`` words (an entity is one word), with their ratios."""
+    words, out = [], {}
+    at = 0
+    for start, end, name in spans:
+        words += [(m.start() + at, m.end() + at, m[0].lower(), None) for m in WORDS.finditer(text[at:start])]
+        words.append((start, end, "", name))
+        at = end
+    words += [(m.start() + at, m.end() + at, m[0].lower(), None) for m in WORDS.finditer(text[at:])]
+    for i, (_, _, _, name) in enumerate(words):
+        terms = near.get(name) if name else None
+        if terms:
+            for a, b, w, other in words[max(0, i - window) : i + window + 1]:
+                if other is None and w in terms:
+                    out[a, b] = max(terms[w], out.get((a, b), 0.0))
+    return out
 
 
-def rewrite(text: str, terms: dict[str, float], remove_at: float, mask_entities: bool = True) -> tuple[str, int, int, int]:
-    """(text, entities generalised, terms generalised, terms removed)."""
-    spans = [(a, b, f"[{name}]") for a, b, name in entities(text)]
-    n_entities, soft, hard = len(spans) if mask_entities else 0, 0, 0
-    if terms and not terms.keys().isdisjoint(map(str.lower, WORDS.findall(text))):
+def rewrite(text: str, terms: dict[str, float], remove_at: float, near: dict[str, dict[str, float]] | None = None, window: int = 10) -> tuple[str, int, int, int]:
+    """(text, entities generalised, terms generalised, terms removed).  terms: those that go everywhere; near: class -> those beside its entities."""
+    found = entities(text)
+    spans = [(a, b, f"[{name}]") for a, b, name in found]
+    soft = hard = 0
+    places = near_entities(text, found, near, window) if near and found else {}
+    if places or (terms and not terms.keys().isdisjoint(map(str.lower, WORDS.findall(text)))):
         ends = [b for _, b, _ in spans]
         k, extra = 0, []
         for m in WORDS.finditer(text):
-            ratio = terms.get(m[0].lower())
-            if ratio is None:
+            ratio = max(terms.get(m[0].lower(), 0.0), places.get(m.span(), 0.0))
+            if not ratio:
                 continue
             while k < len(spans) and ends[k] <= m.start():
                 k += 1
@@ -212,48 +317,41 @@ def rewrite(text: str, terms: dict[str, float], remove_at: float, mask_entities:
             else:
                 extra.append((*m.span(), "[NUMBER]" if any(map(str.isdigit, m[0])) else "[WORD]"))
                 soft += 1
-        spans = sorted((spans if mask_entities else []) + extra)
-    elif not mask_entities:
-        spans = []
+        spans = sorted(spans + extra)
     if not spans:
         return text, 0, 0, 0
     parts, at = [], 0
     for a, b, mark in spans:
         parts += (text[at:a], mark)
         at = b
-    return "".join(parts) + text[at:], n_entities, soft, hard
+    return "".join(parts) + text[at:], len(found), soft, hard
 
 
-def rewriter(shared, last: bool, remove_at: float):
+def rewritten_column(docs: DataFrame, p: Params):
+    """struct<text, n_entities, n_generalised, n_removed>."""
+    small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    slices, part = [], []
+    for r in disclosing(docs, p).orderBy("cls", "term").toLocalIterator():
+        part.append((r.cls, r.term, r.ratio))
+        if len(part) == p.slice_terms:
+            slices.append(context.broadcast(part))
+            part = []
+    slices.append(context.broadcast(part))
     kind = pa.struct([("text", pa.string()), ("n_entities", pa.int32()), ("n_generalised", pa.int32()), ("n_removed", pa.int32())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        terms: dict[str, float] = {}
+        near: dict[str, dict[str, float]] = {}
+        for shared in slices:
+            for cls, term, ratio in shared.value:
+                (terms if cls is None else near.setdefault(cls, {}))[term] = ratio
         for texts in batches:
-            rows = [(None, 0, 0, 0) if t is None else rewrite(t, shared.value, remove_at, last) for t in texts.to_pylist()]
+            rows = [(None, 0, 0, 0) if t is None else rewrite(t, terms, p.remove_at, near, p.window) for t in texts.to_pylist()]
             cols = [[r[i] for r in rows] for i in range(4)]
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], fields=list(kind))
 
-    return F.arrow_udf(run, "text string, n_entities int, n_generalised int, n_removed int")
-
-
-def rewritten_column(docs: DataFrame, p: Params):
-    """struct<text, n_entities, n_generalised, n_removed>."""
-    small_batches(docs.sparkSession)
-    disclosing = disclosing_terms(docs, p)
-    n = disclosing.count()
-    parts: list[dict[str, float]] = [{}]
-    if n:
-        parts = []
-        for r in disclosing.orderBy("term").toLocalIterator():
-            if not parts or len(parts[-1]) == p.slice_terms:
-                parts.append({})
-            parts[-1][r.term] = r.ratio
-    out = None
-    # slices of terms come first, the entities, whose marks are no words of the text, with the last
-    for k, part in enumerate(parts):
-        now = rewriter(docs.sparkSession.sparkContext.broadcast(part), k == len(parts) - 1, p.remove_at)(col("text") if out is None else out.getField("text"))
-        out = now if out is None else F.struct(now.getField("text").alias("text"), *[(now.getField(c) + out.getField(c)).alias(c) for c in ("n_entities", "n_generalised", "n_removed")])
-    return out
+    return F.arrow_udf(run, "text string, n_entities int, n_generalised int, n_removed int")(col("text"))
 
 
 def sanitise(docs: DataFrame, p: Params | None = None) -> DataFrame:

@@ -47,9 +47,16 @@ def test_each_stage_against_brute_force(spark, medium, ran):
     items = [" ".join(decontam.tokens(r.text)) for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()]
     dirty = {d for d, t in texts[2].items() if any(f" {i} " in f" {' '.join(decontam.tokens(t))} " for i in items)}
     assert set(texts[2]) - set(texts[3]) == dirty and dirty
-    # sanitising: same documents, entities gone
+    # sanitising: same documents, entities gone, and the terms that disclose them
+    from test_sanitise import brute_classes, brute_ratios
+
+    p = sanitise.Params()
+    near = {}
+    for (c, t), ratio in brute_classes(texts[3].values(), p).items():
+        near.setdefault(c, {})[t] = ratio
+    terms = brute_ratios(list(dict.fromkeys(texts[3].values())), p)
     assert texts[3].keys() == texts[4].keys()
-    assert all(texts[4][d] == sanitise.rewrite(t, {}, 1)[0] for d, t in texts[3].items())
+    assert all(texts[4][d] == sanitise.rewrite(t, terms, p.remove_at, near)[0] for d, t in texts[3].items())
     # packing: the tokens of what is left, once each
     from test_packing import decoded, whole
 

@@ -55,6 +55,9 @@ def brute_ratios(texts, p):
         kinds = len(set(beside[e, t]))
         if len(ds) < p.min_joint or kinds < p.min_joint or 2 * kinds < len(ds) or len(with_entity[e]) == n:
             continue
+        marks = {sanitise.sightings(texts[d], p.window)[2] for d in ds}
+        if len(marks) - p.stray * (kinds - len(marks)) < p.min_joint:
+            continue
         ratio = math.log2(len(ds) * n / (len(with_entity[e]) * len(with_term[t]))) / math.log2(n / len(with_entity[e]))
         if ratio >= p.generalise_at:
             out[t] = max(ratio, out.get(t, 0))
@@ -137,3 +140,92 @@ def test_a_name_always_written_in_one_place_discloses(spark):
 def test_addresses_of_single_digits():
     assert sanitise.rewrite("dns 1.1.1.1 or 8.8.8.8, never v1.2.3", {}, 0.95)[:2] == ("dns [IP] or [IP], never v1.2.3", 2)
     assert sanitise.observations("resolver at 8.8.8.8", 10)
+
+
+def brute_classes(texts, p):
+    """(class, term) -> ratio at the lower end of the Wilson interval, over distinct texts."""
+    texts = list(dict.fromkeys(texts))
+    n, with_class, with_term, both = len(texts), defaultdict(set), defaultdict(set), defaultdict(set)
+    marks = {}
+    for d, text in enumerate(texts):
+        for w in set(sanitise.WORDS.findall(text.lower())):
+            with_term[w].add(d)
+        seen, _, marks[d] = sanitise.sightings(text, p.window)
+        for c, _, t in seen:
+            (with_class[c] if t is None else both[c, t]).add(d)
+    out = {}
+    for (c, t), ds in both.items():
+        m = len({marks[d] for d in ds})
+        if m - p.stray * (len(ds) - m) < p.min_joint or len(with_class[c]) == n:
+            continue
+        k, z, x = len(with_term[t]), 1.96, len(ds) / len(with_term[t])
+        low = (x + z * z / (2 * k) - z * math.sqrt(x * (1 - x) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+        rate = len(with_class[c]) / n
+        if (ratio := math.log2(low / rate) / -math.log2(rate)) >= p.generalise_at:
+            out[c, t] = ratio
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_terms_that_disclose_classes_on_the_table(spark, size):
+    """The method finds terms on the tables, those of the brute force, and takes them out beside entities only."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    p = sanitise.Params()
+    old = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_classes(old.values(), p)
+    got = {(r.cls, r.term): r.ratio for r in sanitise.disclosing(docs, p).where("cls is not null").collect()}
+    assert got.keys() == want.keys() and ("CREDENTIAL", "token") in want
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    rows = sanitise.sanitise(docs).collect()
+    assert sum(r.n_removed + r.n_generalised for r in rows) > 10
+    clean = [r for r in rows if not sanitise.entities(old[r.doc_id])]
+    assert sum(r.text == old[r.doc_id] for r in clean) >= 0.999 * len(clean)
+
+
+def test_class_terms_go_within_the_window_only():
+    near = {"CREDENTIAL": {"token": 0.99, "key": 0.9}}
+    text = "token " + "word " * 10 + "token = \"abcdef123456\" key " + "word " * 10 + "key"
+    want = "token " + "word " * 10 + " = \"[CREDENTIAL]\" [WORD] " + "word " * 10 + "key"
+    assert sanitise.rewrite(text, {}, 0.95, near)[0] == want
+    assert sanitise.rewrite("the token and key alone", {}, 0.95, near) == ("the token and key alone", 0, 0, 0)
+
+
+def test_edited_copies_are_one_observation(spark):
+    """Copies of one long text with a few edits each; their rare words disclose nothing, wherever they stand."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=200)
+    base[100:104] = ["zorblatt", "ann.lee@example.com", "quimby", "stands"]
+    texts = []
+    for _ in range(300):
+        now = list(base)
+        for _ in range(4):
+            now[rng.choice([*range(80), *range(120, 200)])] = rng.choice(words)
+        texts.append(" ".join(now))
+    texts += [" ".join(rng.choices(words, k=100)) for _ in range(700)] + ["a text with zorblatt and quimby in it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sanitise.disclosing(docs, sanitise.Params()).collect() == []
+    # the same number of different texts is evidence
+    texts = [" ".join([*rng.choices(words, k=60), "zorblatt", "ann.lee@example.com", *rng.choices(words, k=60)]) for _ in range(30)] + texts[300:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "zorblatt" in {r.term for r in sanitise.disclosing_terms(docs, sanitise.Params()).collect()}
+
+
+def test_many_terms_go_through_the_filter(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    a, b = (sorted(map(key, sanitise.disclosing(docs, p).collect())) for p in (sanitise.Params(), sanitise.Params(slice_terms=1)))
+    assert a == b and a
+
+
+def test_filter_holds_what_was_added():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    bloom = sanitise.Bloom()
+    bloom.add(x[:100_000])
+    assert bloom.has(x[:100_000]).all() and bloom.has(x[100_000:]).mean() < 0.001

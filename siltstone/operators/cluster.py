@@ -1,9 +1,15 @@
-"""k-means over a bounded sample of numeric features, with the number of clusters chosen by silhouette."""
+"""k-means over a bounded sample of numeric features, with the number of clusters chosen by silhouette.
+
+The sample (``sample_rows`` rows of ``max_features`` numbers at most, 3 MB) is broadcast; each number of clusters
+with each restart is a task of its own, and so is the silhouette of each number."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,47 +83,117 @@ def null_counts(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("sampled"), F.coalesce(F.sum(any_null.cast("long")), F.lit(0)).alias("dropped"), *each)
 
 
-def probe_rows(scaled: DataFrame, features: list[str], limits: Limits) -> DataFrame:
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared, rows by centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+
+
+def k_means(x: np.ndarray, k: int, seed: list[int], rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Inertia and centres from a k-means++ start.  A centre that loses all its points moves to the one farthest from its own."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(len(x))][None]
+    while len(centres) < k:
+        d = distances(x, centres).min(1)
+        total = d.sum()
+        centres = np.vstack([centres, x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))]])
+    for _ in range(rounds):
+        d = distances(x, centres)
+        own = d.argmin(1)
+        sizes = np.bincount(own, minlength=k)
+        new = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1) / np.maximum(sizes, 1)[:, None]
+        for lost in np.flatnonzero(sizes == 0):
+            far = int(d[np.arange(len(x)), own].argmax())
+            new[lost], d[far] = x[far], 0
+        moved = float(((new - centres) ** 2).sum())
+        centres = new
+        if moved <= 1e-9:
+            break
+    return float(distances(x, centres).min(1).sum()), centres
+
+
+def silhouette(x: np.ndarray, own: np.ndarray) -> float:
+    """Mean of (b - a) / max(a, b): a the mean distance to the row's own cluster, b that to the nearest other one; 0 for a cluster of one."""
+    ids, own = np.unique(own, return_inverse=True)
+    if not 1 < len(ids) < len(x):
+        return -1.0
+    sizes = np.bincount(own)
+    member = np.eye(len(ids))[own]
+    out = np.zeros(len(x))
+    for at in range(0, len(x), 1000):
+        i = np.arange(at, min(at + 1000, len(x)))
+        sums = np.sqrt(distances(x[i], x)) @ member
+        mine = sizes[own[i]]
+        a = sums[np.arange(len(i)), own[i]] / np.maximum(mine - 1, 1)
+        means = sums / sizes
+        means[np.arange(len(i)), own[i]] = np.inf
+        b = means.min(1)
+        out[i] = np.where(mine > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+    return float(out.mean())
+
+
+def hash_order(rows: DataFrame, features: list[str], limits: Limits) -> DataFrame:
+    return rows.orderBy(F.xxhash64(F.lit(limits.seed), *[quoted(f) for f in features]), *[quoted(f) for f in features])
+
+
+def probe_rows(rows: DataFrame, features: list[str], limits: Limits) -> DataFrame:
     """The rows that the silhouette is measured on: those of smallest seeded hash, from all over the table."""
-    return scaled.orderBy(F.xxhash64(F.lit(limits.seed), *[quoted(f) for f in features]), *[quoted(f) for f in features]).limit(limits.silhouette_rows)
+    return hash_order(rows, features, limits).limit(limits.silhouette_rows)
 
 
 def cluster(df: DataFrame, features: list[str], limits: Limits | None = None, k: int | None = None) -> Clusters:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    limits = limits or Limits()
+    limits, spark = limits or Limits(), df.sparkSession
+    if k is not None and k < 2:
+        raise ValueError(f"k is {k}; at least 2 clusters make sense")
     picked, _ = sample(df, features, limits)
-    picked = picked.cache()
-    try:
-        nulls = null_counts(picked, features).first()
-        n = nulls.sampled - nulls.dropped
-        if n < max(limits.k_min, 2):
-            raise ValueError(f"{n} rows without nulls are too few to cluster")
-        rows = picked.dropna(subset=features).orderBy(*[quoted(f) for f in features]).coalesce(1)
-        made = VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
-        scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(made).transform(made).select(*[quoted(f) for f in features], "features").cache()
-        probe = probe_rows(scaled, features, limits)
-        sweep, best = [], None
-        for size in [k] if k else range(limits.k_min, min(limits.k_max, n - 1) + 1):
-            fits = [KMeans(k=size, seed=limits.seed + i, maxIter=50).fit(scaled) for i in range(limits.restarts)]
-            model = min(fits, key=lambda m: m.summary.trainingCost)
-            used = len({*[r.prediction for r in model.transform(probe).select("prediction").distinct().collect()]})
-            s = ClusteringEvaluator().evaluate(model.transform(probe)) if used > 1 else -1.0
-            sweep.append((size, round(float(s), 4)))
-            if best is None or s > best[0]:
-                best = (s, size, model)
-        _, size, model = best
-        agg = model.transform(scaled).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), *[F.avg(quoted(f)).alias(f) for f in features]).orderBy(F.desc("n"), "prediction").collect()
-        sizes = [r.n for r in agg]
-        notes = [f"a cluster holds under 1 % of the rows ({x} of {n}): likely outliers" for x in sizes if x < 0.01 * n]
-        if n < limits.min_rows:
-            notes.append(f"only {n} rows: clusters of so few mean little")
-        if nulls.sampled == limits.sample_rows:
-            notes.append(f"clustered over a sample of {limits.sample_rows} rows, which is the same on each run")
-        if nulls.dropped:
-            notes.append(f"{nulls.dropped} of {nulls.sampled} rows were left out for nulls: " + ", ".join(f"{f} {nulls[f'null_{f}']}" for f in features if nulls[f"null_{f}"]))
-        return Clusters(features, size, sizes, [{f: r[f] for f in features} for r in agg], float(model.summary.trainingCost), sweep, n, nulls.dropped, notes)
-    finally:
-        picked.unpersist()
+    rows = hash_order(picked, features, limits).toArrow()  # the first ones without nulls are probe_rows
+    columns = [rows[f].to_numpy(zero_copy_only=False).astype(float) for f in features]
+    nulls = [rows[f].null_count for f in features]
+    raw = np.stack(columns, 1) if len(rows) else np.zeros((0, len(features)))
+    raw = raw[~np.isnan(raw).any(1)]
+    n, sampled = len(raw), len(rows)
+    if n < max(limits.k_min, 2):
+        raise ValueError(f"{n} rows without nulls are too few to cluster")
+    points = len(np.unique(raw, axis=0))
+    # no more clusters than distinct points: with as many, each would be one of its own
+    if k is not None and k > points:
+        raise ValueError(f"k is {k}; there are {points} distinct points")
+    if points < 2:
+        raise ValueError("all rows without nulls are one point")
+    most = min(limits.k_max, points if points <= 2 else points - 1)
+    spread = raw.std(0)
+    x = (raw - raw.mean(0)) / np.where(spread > 0, spread, 1)
+    shared = spark.sparkContext.broadcast((x, limits.silhouette_rows))
+    sizes = [k] if k else list(range(min(limits.k_min, most), most + 1))
+    tries = [(size, i) for size in sizes for i in range(limits.restarts)]
+    kind = pa.schema([("k", pa.int64()), ("restart", pa.int64()), ("inertia", pa.float64()), ("centres", pa.binary())])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(size, i, *k_means(shared.value[0], size, [limits.seed, size, i])) for size, i in zip(b["k"].to_pylist(), b["restart"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), pa.array([g[2] for g in got]), pa.array([g[3].tobytes() for g in got])], schema=kind)
+
+    spread_out = lambda rows, schema, by: spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)), *by)
+    fits = spread_out(tries, "k long, restart long", ["k", "restart"]).mapInArrow(fit, "k long, restart long, inertia double, centres binary").collect()
+    best = {size: min((f for f in fits if f.k == size), key=lambda f: (f.inertia, f.restart)) for size in sizes}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = shared.value[0][: shared.value[1]]
+        for b in batches:
+            own = [distances(data, np.frombuffer(c).reshape(-1, data.shape[1])).argmin(1) for c in b["centres"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["k"], pa.array([silhouette(data, o) for o in own], pa.float64())], names=["k", "s"])
+
+    judged = spread_out([(size, bytes(f.centres)) for size, f in best.items()], "k long, centres binary", ["k"]).mapInArrow(judge, "k long, s double").collect()
+    score = {r.k: r.s for r in judged}
+    sweep = [(size, round(score[size], 4)) for size in sizes]
+    size = max(sizes, key=lambda c: (score[c], -c))
+    own = distances(x, np.frombuffer(bytes(best[size].centres)).reshape(-1, x.shape[1])).argmin(1)
+    members = sorted((np.flatnonzero(own == c) for c in np.unique(own)), key=lambda m: (-len(m), raw[m].mean(0).tolist()))
+    counts = [len(m) for m in members]
+    notes = [f"a cluster holds under 1 % of the rows ({c} of {n}): likely outliers" for c in counts if c < 0.01 * n]
+    if n < limits.min_rows:
+        notes.append(f"only {n} rows: clusters of so few mean little")
+    if sampled == limits.sample_rows:
+        notes.append(f"clustered over a sample of {limits.sample_rows} rows, which is the same on each run")
+    if sampled > n:
+        notes.append(f"{sampled - n} of {sampled} rows were left out for nulls: " + ", ".join(f"{f} {c}" for f, c in zip(features, nulls, strict=True) if c))
+    return Clusters(features, size, counts, [dict(zip(features, raw[m].mean(0).tolist(), strict=True)) for m in members], float(best[size].inertia), sweep, n, sampled - n, notes)

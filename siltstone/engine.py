@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from . import progress
 from .config import Config, load
-from .model import Cache, Dataset, Finding, QueryResult, Relationship
+from .model import Cache, Dataset, Finding, QueryResult, Relationship, match_identifier, relation_verdict
 from .operators import cluster as clusters
 from .operators import cumulative, diagram, drift, profile, rank, relationships
 from .plans import attribution, edits, firewall, guard, inspect, runner, semantic
@@ -149,10 +149,19 @@ class Engine:
             probed = relationships.probes(self.source, edges)
             with self.gate.spend(self._bytes(sorted({x for r in probed for x in (r.from_dataset, r.to_dataset)})), "verify"):
                 edges = relationships.verify(self.source, edges)
+            self._note_orphans(cache, edges)
         cache.relationships = edges
         self._save(cache)
         return edges
 
+    @staticmethod
+    def _note_orphans(cache: Cache, edges: list[Relationship]) -> None:
+        """Joins that the data contradict become notes of the table that holds the reference."""
+        for r, said in relationships.orphan_findings(edges):
+            d = cache.dataset(r.from_dataset)
+            if d and said not in d.data_quality:
+                d.data_quality.append(said)
+
     def map(self, full: bool = False, refresh: bool = False, verify: bool = False) -> Cache:
         """Inventory, rank, profile what matters, annotate, infer joins, verify, rank again, save."""
         objects = self.source.list_objects()
@@ -167,6 +176,7 @@ class Engine:
             probed = relationships.probes(self.source, edges)
             with self.gate.spend(self._bytes(sorted({x for r in probed for x in (r.from_dataset, r.to_dataset)})), "verify"):
                 edges = relationships.verify(self.source, edges)
+            self._note_orphans(cache, edges)
         measured = {r.key(): r for r in old.relationships if r.verified}
         for r in edges:
             if not r.verified and r.key() in measured:
@@ -232,11 +242,38 @@ class Engine:
                 timer.cancel()
             self.spark.removeTag(tag)
 
+    def object_gap(self, sql: str) -> list[dict]:
+        """What stands between a statement and the firewall's verdict: objects that are missing, ambiguous or not profiled."""
+        cache, now, out = self.cache(), dt.datetime.now(dt.UTC), []
+        known = self.source.identifiers()
+        for name in inspect.relations(guard.assert_select_only(self.spark, sql)):
+            hits = match_identifier(name, known)
+            if len(hits) == 1 and self._fresh(cache.dataset(hits[0]), now):
+                continue
+            gap = "ambiguous" if len(hits) > 1 else "unprofiled" if hits else relation_verdict(name, known, {k.rpartition(".")[0] for k in known}) or "missing"
+            out.append({"relation": name, "gap": gap, "identifiers": hits, "bytes": self._bytes(hits) if len(hits) == 1 else None})
+        return out
+
     def query_batch(self, text: str) -> list[dict]:
-        """Several statements, a verdict for each; their results share one payload limit."""
+        """Several statements, a verdict for each; they share one profile, one price, which is asked for once, and one payload limit."""
         statements = guard.split_statements(text)
         if len(statements) > self.config.query.max_statements:
             raise guard.Refused(f"{len(statements)} statements; at most {self.config.query.max_statements} are run together")
+        names, price = [], 0
+        for sql, _ in statements:
+            try:
+                names += inspect.relations(guard.assert_select_only(self.spark, sql))
+                price += inspect.scan_bytes(self.spark.sql(sql))
+            except Exception:  # noqa: BLE001 - its own verdict follows below
+                continue
+        if self.config.auto_profile:
+            ids = list(dict.fromkeys(h[0] for n in names if len(h := match_identifier(n, self.source.identifiers())) == 1))
+            cache, now = self.cache(), dt.datetime.now(dt.UTC)
+            price += self._bytes([i for i in ids if not self._fresh(cache.dataset(i), now)])
+            self.gate.preflight(price)
+            self._profiled(ids)
+        else:
+            self.gate.preflight(price)
         left, out = self.config.query.max_payload_bytes, []
         for sql, line in statements:
             try:
@@ -260,9 +297,11 @@ class Engine:
         models, metrics = p.semantic()
 
         def frame(relation: str):
-            ids = [k for k in self.source.identifiers() if k.lower() == relation.lower() or k.rpartition(".")[2].lower() == relation.lower()]
+            known = self.source.identifiers()
+            ids = match_identifier(relation, known)
             if len(ids) != 1:
-                raise LookupError(f"{relation} is {'ambiguous' if ids else 'not in the warehouse'}")
+                said = {"missing": "not in its schema", "foreign": "in a schema that this source does not have", None: "not in the warehouse"}
+                raise LookupError(f"{relation} is {'ambiguous' if ids else said[relation_verdict(relation, known, {k.rpartition('.')[0] for k in known})]}")
             return self.source.frame(ids[0])
 
         return semantic.SemanticLayer(models, metrics, frame, self.cache())

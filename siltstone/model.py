@@ -62,6 +62,7 @@ class ColumnStats(Record):
     """Aggregates of one column; None is always "not computed"."""
 
     name: str
+    non_null: int | None = None
     null_fraction: float | None = None
     distinct_count: int | None = None
     distinct_exact: bool = False

@@ -147,7 +147,7 @@ def grain_plan(base: Cache, now: list[Dataset], scope: set[str] | None = None) -
 def grain_estimate(source: SparkCatalog, plan: GrainPlan) -> int:
     """Bytes that the plan's scans may read."""
     tables = [*plan.singles, *plan.composites, *(x for r in plan.edges for x in (r.from_dataset, r.to_dataset))]
-    return sum(source._bytes.get(t, 0) for t in tables)
+    return sum(source.bytes_of(t) for t in tables)
 
 
 def grain_drift(source: SparkCatalog, plan: GrainPlan) -> list[Finding]:

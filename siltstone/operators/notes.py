@@ -13,7 +13,7 @@ _HASHES = {32: "md5", 40: "sha1", 64: "sha256"}
 
 
 def _dated(name: str, kind: str, share: float, fmt: str) -> str:
-    return f"{name} is declared {kind} but {share:.0%} of values match the {fmt} date format; consider casting with that format"
+    return f"{name} is declared {kind} but {share:.0%} of values match the {fmt} dates; a cast with this format would make them dates"
 
 
 def slash_note(name: str, kind: str, s: ColumnStats) -> str | None:
@@ -54,7 +54,7 @@ def contradiction_notes(name: str, kind: str, s: ColumnStats | None) -> list[str
         out.append(slash_note(name, kind, s))
         if (s.numeric_fraction or 0) >= MATCH and not epoch_note(name, kind, s):
             whole = s.integer_fraction or 0
-            fits = "every value fits an integer" if whole >= MATCH else f"only {whole:.0%} fit an integer, the others have decimals"
+            fits = "all of them are whole numbers" if whole >= MATCH else f"only {whole:.0%} fit an integer, the others have decimals"
             out.append(f"{name} is declared {kind} but {s.numeric_fraction:.0%} of values are numeric text; {fits}")
     out.append(epoch_note(name, kind, s))
     return [n for n in out if n]
@@ -65,7 +65,7 @@ def hex_label(s: ColumnStats) -> str:
     if low is None or high is None:
         return "hexadecimal"
     if low != high:
-        return f"hexadecimal ({low}-{high} characters, mixed length)"
+        return f"hexadecimal ({low}-{high} digits, of several lengths)"
     return f"{low}-character hexadecimal" + (f" ({_HASHES[low]}-shaped)" if low in _HASHES else "")
 
 
@@ -78,7 +78,7 @@ def mixed_key_note(name: str, s: ColumnStats | None) -> str | None:
     present = [f"{v:.0%} {k}" for k, v in shares if v >= 0.05]
     if len(present) < 2:
         return None
-    return f"{name} is a candidate key but mixes value shapes: {', '.join(present)}; a numeric cast or comparison drops the rest silently"
+    return f"{name} could be a key, yet mixes value shapes: {', '.join(present)}; a numeric cast or comparison drops the rest silently"
 
 
 def flag_note(name: str, kind: str, s: ColumnStats | None, domain: ValueDomain | None) -> str | None:
@@ -91,7 +91,7 @@ def flag_note(name: str, kind: str, s: ColumnStats | None, domain: ValueDomain |
         listed = ": " + ", ".join(f"{v.value}={v.count}" for v in domain.values) + (f", +{domain.elided} more" if domain.elided else "")
     else:
         n, listed = ("" if s.distinct_exact else "~") + str(s.distinct_count), ""
-    return f"{name} looks boolean-shaped by name but holds {n} distinct non-null values{listed}; reading it as two-valued misclassifies rows"
+    return f"{name} is named like a yes/no flag, yet holds {n} distinct non-null values{listed}; reading it as two-valued misclassifies rows"
 
 
 def granularity(s: ColumnStats) -> str:

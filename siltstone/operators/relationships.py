@@ -48,9 +48,9 @@ def quality_notes(d: Dataset) -> list[str]:
         unproven = not c.distinct_exact and c.distinct_count >= NEAR_UNIQUE * d.row_count
         if not unproven and c.distinct_count < d.row_count:
             about = "" if c.distinct_exact else "~"
-            out.append(f"{c.name} is not unique: {about}{c.distinct_count} distinct over {d.row_count} rows (~{d.row_count - c.distinct_count} duplicate rows); joins on it will fan out")
+            out.append(f"{c.name} is not unique: {about}{c.distinct_count} distinct over {d.row_count} rows (~{d.row_count - c.distinct_count} rows too many); a join on it repeats rows")
     if not candidate_keys(d):
-        out.append("no candidate key detected; grain unknown")
+        out.append("no column or pair is a key, so the grain is not known")
     return out
 
 

@@ -40,8 +40,12 @@ class Gate:
     def used(self) -> int:
         return int(spent(self.store, connector=self.connector)) + self.reserved
 
-    def preflight(self, estimate: int) -> None:
-        """Over the ceiling: refused.  Free: passes.  Billed: no ceiling or no confirmation is refused."""
+    def preflight(self, estimate: int | None) -> None:
+        """Over the ceiling: refused.  Free: passes.  Billed: no ceiling or no confirmation is refused, and so is an unknown estimate."""
+        if estimate is None:
+            if self.paradigm == "free" and self.ceiling is None:
+                return
+            raise OverBudget("nothing is known about how much the scan reads")
         if self.ceiling is not None and self.used() + estimate > self.ceiling:
             raise OverBudget(f"the scan reads up to {estimate} bytes; {max(0, self.ceiling - self.used())} of {self.ceiling} are left")
         if self.paradigm == "free" or estimate == 0:

@@ -274,15 +274,29 @@ class SemanticLayer:
             over = Window.partitionBy(*others, F.date_trunc(m.grain_to_date, time)).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
         elif m.window:
             n, unit = m.window.split()
-            days = int(n) * {"day": 1, "week": 7}.get(unit.rstrip("s"), 0)
-            if not days:
-                raise Refused("a trailing window is given in days or weeks")
-            # seconds as range order: a trailing window needs no self-join over the time spine
-            over = Window.partitionBy(*others).orderBy(F.unix_timestamp(time.cast("timestamp"))).rangeBetween(-(days * 86400 - 1), 0)
+            unit = unit.lower().rstrip("s")
+            if unit in ("month", "quarter", "year"):
+                return self.months_back(m, part, keys, at, int(n) * {"month": 1, "quarter": 3, "year": 12}[unit])
+            seconds = int(n) * {"hour": 3600, "day": 86400, "week": 7 * 86400}.get(unit, 0)
+            if not seconds:
+                raise Refused("a trailing window is given in hours, days, weeks, months, quarters or years")
+            # seconds of the wall clock as range order: a trailing window needs no self-join, and a day that is 23 hours long is a day
+            clock = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
+            over = Window.partitionBy(*others).orderBy(clock).rangeBetween(-(seconds - 1), 0)
         else:
             over = Window.partitionBy(*others).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
         return part.select(*keys, F.sum(F.col("`v::`")).over(over).alias(m.name))
 
+    def months_back(self, m: Metric, part: DataFrame, keys: list[str], at: int, months: int) -> DataFrame:
+        """Total over (t - months, t]: a join of the periods, of which there is a row each, as months differ in length."""
+        old = part.withColumnsRenamed({k: f"r{k}" for k in keys} | {"v::": "w::"})
+        t, s = F.col(keys[at]).cast("timestamp_ntz"), F.col(f"r{keys[at]}").cast("timestamp_ntz")
+        on = (s <= t) & (s > t - F.make_ym_interval(F.lit(0), F.lit(months)))
+        for i, k in enumerate(keys):
+            if i != at:
+                on = on & F.col(k).eqNullSafe(F.col(f"r{k}"))
+        return part.join(old, on).groupBy(*keys).agg(F.sum(F.col("`w::`")).alias(m.name))
+
     def conversion(self, m: Metric, q: SemanticQuery, keys: list[str]) -> DataFrame:
         """Share of base events that the same entity follows by a conversion event within the window."""
         base_model, base = self._measure(m.base_measure)

@@ -14,9 +14,11 @@ from .. import types
 from ..functions import stats
 from ..functions.stats import quoted
 from ..model import ColumnMeta, ColumnStats, ObjectMeta, QueryResult, json_safe
+from ..plans.inspect import scan_bytes
 
 BATCH = 50  # columns in one aggregate: bounds the size of generated code
-DISTINCT_BATCH = 3  # exact distincts in one statement: each more multiplies the rows that are shuffled
+FINE = ("hour", "day", "month")  # units of time, each a part of the next
+_VIEWS: dict[str, set[str]] = {}  # session -> temporary views that sources registered, which they may replace
 
 
 def within(identifier: str, scope: Iterable[str] | None) -> bool:
@@ -67,17 +69,30 @@ class SparkCatalog:
             self._types[ident] = "view" if (t.tableType or "").upper() in ("VIEW", "TEMPORARY") else "table"
             self._frames[ident] = self.spark.table(f"`{database}`.`{t.name}`" if not t.isTemporary else f"`{t.name}`")
 
-    def add(self, name: str, df: DataFrame, byte_size: int | None = None, object_type: str = "table") -> str:
-        """Register a DataFrame; also as a temporary view, so that SQL can name it."""
+    def add(self, name: str, df: DataFrame, byte_size: int | None = None, object_type: str = "table", view: bool = True) -> str:
+        """Register a DataFrame; also as a temporary view, so that SQL can name it.  Views of others are never replaced."""
+        if view:
+            own = self._own_views()
+            if name.lower() not in own and any(t.isTemporary and t.name.lower() == name.lower() for t in self.spark.catalog.listTables()):
+                raise ValueError(f"the session has a temporary view {name} of its own: drop or rename it")
+            df.createOrReplaceTempView(name)
+            own.add(name.lower())
         ident = f"{self.namespace}.{name}"
         self._frames[ident] = df
         self._types[ident] = object_type
         if byte_size is not None:
             self._bytes[ident] = byte_size
         self._rows.pop(ident, None)
-        df.createOrReplaceTempView(name)
         return ident
 
+    def _own_views(self) -> set[str]:
+        return _VIEWS.setdefault(str(self.spark._jsparkSession.sessionUUID()), set())
+
+    def bytes_of(self, identifier: str) -> int:
+        """The files' size where it is known, else what the plan's leaves may read."""
+        size = self._bytes.get(identifier)
+        return scan_bytes(self.frame(identifier)) if size is None else size
+
     # inventory
 
     def capabilities(self) -> dict:
@@ -119,8 +134,8 @@ class SparkCatalog:
 
     def scan(self, identifier: str) -> tuple[DataFrame, bool]:
         """The table, or a sample of it beyond the byte threshold; and whether it is a sample."""
-        df, size = self.frame(identifier), self._bytes.get(identifier)
-        if self.sample_bytes is None or size is None or size <= self.sample_bytes:
+        df = self.frame(identifier)
+        if self.sample_bytes is None or (size := self.bytes_of(identifier)) <= self.sample_bytes:
             return df, False
         percent = max(round(100 * self.sample_bytes / size, 2), 0.01)
         return df.sample(percent / 100, seed=0), True
@@ -154,7 +169,7 @@ class SparkCatalog:
             for i, c in enumerate(part):
                 got = {k.rpartition("__")[0]: v for k, v in row.items() if k.endswith(f"__{i}")}
                 nn, nd = got.pop("nn"), got.pop("nd", None)
-                s = ColumnStats(c.name, null_fraction=1 - nn / n_rows if n_rows else None, distinct_count=nd if n_rows else None)
+                s = ColumnStats(c.name, non_null=nn, null_fraction=1 - nn / n_rows if n_rows else None, distinct_count=nd if n_rows else None)
                 if n_rows and nd is not None and not sampled:
                     s.is_unique = nd == nn == n_rows
                 for k, v in got.items():
@@ -166,25 +181,25 @@ class SparkCatalog:
         return n_rows, out
 
     def periods(self, df: DataFrame, column: ColumnMeta) -> dict[str, tuple[int, int]]:
-        """unit -> (distinct periods, most periods missing between two neighbours)."""
-        out = {}
-        for unit in types.units_of(column.data_type):
-            r = period_gaps(df, column.name, unit).first()
-            out[unit] = (r.distinct_periods, r.largest_gap)
-        return out
+        """unit -> (distinct periods, most periods missing between two neighbours), in one pass: coarser units are made from the finest."""
+        units = [u for u in FINE if u in types.units_of(column.data_type)]
+        if not units:
+            return {}
+        finest = df.select(F.date_trunc(units[0], quoted(column.name)).cast("timestamp_ntz").alias("p")).where("p is not null").distinct()
+        each = [period_gaps(finest, "p", u).select(F.lit(u).alias("unit"), "distinct_periods", "largest_gap") for u in units]
+        return {r.unit: (r.distinct_periods, r.largest_gap) for r in reduce(DataFrame.unionByName, each).collect()}
 
     def exact_distinct_counts(self, identifier: str, columns: list[str]) -> dict[str, int]:
-        df, out = self.frame(identifier), {}
-        for at in range(0, len(columns), DISTINCT_BATCH):
-            part = columns[at : at + DISTINCT_BATCH]
-            row = df.agg(*[F.count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
-            out |= {c: row[f"d{i}"] for i, c in enumerate(part)}
-        return out
+        """One statement that reads each column once; several distincts in one aggregate would multiply its rows."""
+        df = self.frame(identifier)
+        one = [df.select(quoted(c).alias("v")).where("v is not null").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("c"), "n") for c in columns]
+        return {r.c: r.n for r in reduce(DataFrame.unionByName, one).collect()} if one else {}
 
     def distinct_combination_counts(self, identifier: str, combinations: list[list[str]]) -> dict[tuple[str, ...], int]:
-        """Nulls count as values, so rows with nulls are combinations as well."""
+        """Nulls count as values, so rows with nulls are combinations as well.  One statement for all combinations."""
         df = self.frame(identifier)
-        return {tuple(c): df.select(*[quoted(x) for x in c]).distinct().count() for c in combinations}
+        one = [df.select(*[quoted(x) for x in c]).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, c in enumerate(combinations)]
+        return {tuple(combinations[r.i]): r.n for r in reduce(DataFrame.unionByName, one).collect()} if one else {}
 
     def value_domain_counts(self, identifier: str, columns: list[str], limit: int = 25) -> dict[str, tuple[list[tuple], int]]:
         """Most frequent values and the exact number of distinct values, all columns in one statement."""
@@ -223,9 +238,12 @@ class SparkCatalog:
         return QueryResult([c for c, _ in df.dtypes], [t for _, t in df.dtypes], [[json_safe(v) for v in r] for r in rows[:max_rows]], len(rows) > max_rows)
 
     def close(self) -> None:
+        own = self._own_views()
         for i in self._frames:
-            if self.data_dir is not None:
-                self.spark.catalog.dropTempView(i.rpartition(".")[2])
+            name = i.rpartition(".")[2]
+            if self.data_dir is not None and name.lower() in own:
+                self.spark.catalog.dropTempView(name)
+                own.discard(name.lower())
         self._frames.clear()
 
 

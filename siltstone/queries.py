@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "pages", "benchmark", "conversations")
 COLUMNS = {
     "region": {"r_regionkey": "int", "r_name": "string"},
     "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
@@ -36,6 +36,10 @@ COLUMNS = {
     "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
     "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
     "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
 EDGES = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id")]
 
@@ -69,44 +73,46 @@ def rows(spark: SparkSession, schema: str, data: list[tuple]) -> DataFrame:
 
 # profiles
 
+def metas(df: DataFrame) -> list[ColumnMeta]:
+    return [ColumnMeta(f.name, f.dataType.simpleString(), f.nullable, k) for k, f in enumerate(df.schema.fields)]
+
+
 for _t, _cols in COLUMNS.items():
+    _flat = [c for c, k in _cols.items() if not types.is_nested(k)]  # of nested columns only nulls are counted
+    _num = [c for c, k in _cols.items() if types.is_numeric(k)]
 
-    def _nulls(spark: SparkSession, sf_dir: str, t: str = _t, cols: dict = _cols) -> DataFrame:
-        df = table(spark, sf_dir, t)
-        agg = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(quoted(c)).alias(f"nn{i}") for i, c in enumerate(cols)])
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"nn{i}").alias("non_null"), F.when(F.col("n") > 0, 1 - F.col(f"nn{i}") / F.col("n")).alias("null_fraction")) for i, c in enumerate(cols)]))
-        return agg.select(each.alias("r")).select("r.*")
+    def _nulls(spark: SparkSession, sf_dir: str, t: str = _t) -> DataFrame:
+        src = source(spark, sf_dir, (t,))
+        n, got = src.column_aggregates(f"main.{t}", metas(src.frame(f"main.{t}")))
+        return rows(spark, "column_name string, n_rows long, non_null long, null_fraction double", [(c, n, x.non_null, x.null_fraction) for c, x in got.items()])
 
     ALL[f"profile_null_fraction_{_t}"] = _nulls
     ORACLES[f"profile_null_fraction_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS non_null, CASE WHEN count(*) > 0 THEN 1 - count({c})::DOUBLE / count(*) END AS null_fraction FROM {_t}" for c in _cols)
 
-    def _distinct(spark: SparkSession, sf_dir: str, t: str = _t, cols: dict = _cols) -> DataFrame:
-        # a grouping for each column: several exact distincts in one aggregate would multiply its rows
-        df = table(spark, sf_dir, t)
-        one = [df.select(quoted(c).alias("v")).where("v is not null").distinct().agg(F.count(F.lit(1)).alias("distinct_exact")).select(F.lit(c).alias("column_name"), "distinct_exact") for c in cols if c not in ("text", "props")]
-        return reduce(DataFrame.unionByName, one)
+    def _distinct(spark: SparkSession, sf_dir: str, t: str = _t, cols: list = _flat) -> DataFrame:
+        return rows(spark, "column_name string, distinct_exact long", list(source(spark, sf_dir, (t,)).exact_distinct_counts(f"main.{t}", cols).items()))
 
     ALL[f"profile_exact_distinct_{_t}"] = _distinct
-    ORACLES[f"profile_exact_distinct_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_exact FROM {_t}" for c in _cols if c not in ("text", "props"))
+    ORACLES[f"profile_exact_distinct_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_exact FROM {_t}" for c in _flat)
 
-    if any(k in ("int", "bigint", "double") for k in _cols.values()):
+    if _num:
 
-        def _ends(spark: SparkSession, sf_dir: str, t: str = _t, cols: dict = _cols) -> DataFrame:
-            num = [c for c, k in cols.items() if types.is_numeric(k)]
-            agg = table(spark, sf_dir, t).agg(*[(f(quoted(c)).cast("double") + 0.0).alias(f"{n}{i}") for i, c in enumerate(num) for n, f in (("lo", F.min), ("hi", F.max))])
-            return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(num)])).alias("r")).select("r.*")
+        def _ends(spark: SparkSession, sf_dir: str, t: str = _t, num: list = _num) -> DataFrame:
+            src = source(spark, sf_dir, (t,))
+            _, got = src.column_aggregates(f"main.{t}", [m for m in metas(src.frame(f"main.{t}")) if m.name in num], min_max=set(num))
+            real = lambda v: None if v is None else float(v) + 0.0  # noqa: E731 - the extremes of a column of zeros may be either zero
+            return rows(spark, "column_name string, min_value double, max_value double", [(c, real(x.min_value), real(x.max_value)) for c, x in got.items()])
 
         ALL[f"profile_min_max_{_t}"] = _ends
-        ORACLES[f"profile_min_max_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::DOUBLE + 0.0::DOUBLE AS min_value, max({c})::DOUBLE + 0.0::DOUBLE AS max_value FROM {_t}" for c, k in _cols.items() if types.is_numeric(k))
+        ORACLES[f"profile_min_max_{_t}"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::DOUBLE + 0.0::DOUBLE AS min_value, max({c})::DOUBLE + 0.0::DOUBLE AS max_value FROM {_t}" for c in _num)
 
-DOMAINS = {"orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus", "l_linenumber"], "customer": ["c_mktsegment", "c_nationkey"], "part": ["p_brand", "p_type"], "events": ["event_type"], "documents": ["lang", "source"]}
+DOMAINS = {"orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus", "l_linenumber"], "customer": ["c_mktsegment", "c_nationkey"], "part": ["p_brand", "p_type"], "events": ["event_type"], "documents": ["lang", "source"], "conversations": ["role"], "embeddings": ["label"]}
 for _t, _names in DOMAINS.items():
 
     def _domain(spark: SparkSession, sf_dir: str, t: str = _t, names: list = _names) -> DataFrame:
-        df = table(spark, sf_dir, t)
-        tall = reduce(DataFrame.unionByName, [value_counts(df, c) for c in names])
-        order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-        return tall.withColumn("total_distinct", F.count(F.lit(1)).over(Window.partitionBy("column_name"))).withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 25")
+        got = source(spark, sf_dir, (t,)).value_domain_counts(f"main.{t}", names)
+        text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+        return rows(spark, "column_name string, value string, n long, total_distinct long, rank long", [(c, text(v), n, total, k + 1) for c, (values, total) in got.items() for k, (v, n) in enumerate(values)])
 
     ALL[f"value_domain_{_t}"] = _domain
     ORACLES[f"value_domain_{_t}"] = (
@@ -187,9 +193,8 @@ for _t, _c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_ship
 
 @query("distinct_combination_lineitem", "SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS combinations, (SELECT count(*) FROM lineitem) AS n_rows")
 def distinct_combination_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
-    per = df.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("combinations"), F.sum("n").alias("n_rows"))
+    src, key = source(spark, sf_dir, ("lineitem",)), ["l_orderkey", "l_linenumber"]
+    return rows(spark, "combinations long, n_rows long", [(src.distinct_combination_counts("main.lineitem", [key])[tuple(key)], src.row_count("main.lineitem"))])
 
 
 @query("overlap_probe_all", " UNION ALL ".join(f"SELECT '{a}.{x}->{b}.{y}' AS edge, count(c.{x}) AS nonnull_fk, count(CASE WHEN c.{x} IS NOT NULL AND p.{y} IS NULL THEN 1 END) AS orphans FROM {a} c LEFT JOIN (SELECT DISTINCT {y} FROM {b}) p ON c.{x} = p.{y}" for a, x, b, y in EDGES))
@@ -217,6 +222,18 @@ def cluster_kmeans_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "cluster int, size long, " + ", ".join(f"{c} double" for c in CLUSTERED), [(i, n, *[m[c] for c in CLUSTERED]) for i, (n, m) in enumerate(zip(got.sizes, got.centroids, strict=True))])
 
 
+# three groups far apart, of which sizes and centres are exact
+_FAR = "c_custkey % 3 * 40 + 10 + c_custkey % 5 * 0.1::DOUBLE", "c_custkey % 3 * 4 + 1 + c_custkey % 5 * 0.1::DOUBLE"
+
+
+@query("cluster_separable_customers", f"SELECT count(*) AS size, round(avg({_FAR[0]}), 6) AS spend, round(avg({_FAR[1]}), 6) AS visits FROM customer GROUP BY c_custkey % 3")
+def cluster_separable_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group, step = F.col("c_custkey") % 3, F.col("c_custkey") % 5 * F.lit(0.1)
+    df = table(spark, sf_dir, "customer").select("c_custkey", (group * 40 + 10 + step).alias("spend"), (group * 4 + 1 + step).alias("visits"))
+    got = clusters.cluster(df, ["spend", "visits"], clusters.Limits())
+    return rows(spark, "size long, spend double, visits double", [(n, round(m["spend"], 6), round(m["visits"], 6)) for n, m in zip(got.sizes, got.centroids, strict=True)])
+
+
 @query("unpivot_json_events", "SELECT e.event_id, k.key AS key, json_extract_string(e.props, '$.' || k.key) AS value FROM events e, LATERAL (SELECT unnest(json_keys(e.props)) AS key) k")
 def unpivot_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpivot_json_object(table(spark, sf_dir, "events"), "props", ["event_id"])
@@ -255,21 +272,24 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "identifier string, row_count long, column_count long", [(o.identifier, src.row_count(o.identifier), o.column_count) for o in src.list_objects()])
 
 
-_REL = "(VALUES " + ", ".join(f"('{a}', '{x}', '{b}', '{y}')" for a, x, b, y in EDGES) + ") t(from_table, from_column, to_table, to_column)"
+def _keyed(table_name: str, column: str) -> str:
+    return f"(SELECT count(*) > 0 AND count(*) = count(DISTINCT {column}) FROM {table_name})"
 
 
-@query("inferred_relationships", f"SELECT * FROM {_REL}")
+# an edge of each pair of columns whose names match and of which the second is a key; doc_id is one in both tables
+@query("inferred_relationships", " UNION ALL ".join(f"SELECT '{a}' AS from_table, '{x}' AS from_column, '{b}' AS to_table, '{y}' AS to_column WHERE {_keyed(b, y)}" for a, x, b, y in [*EDGES, ("documents", "doc_id", "labels", "doc_id")]))
 def inferred_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, cache = mapped(spark, sf_dir)
-    known = {(a, x, b, y) for a, x, b, y in EDGES}
-    out = [(r.from_dataset.split(".")[-1], r.from_columns[0], r.to_dataset.split(".")[-1], r.to_columns[0]) for r in cache.relationships]
-    # both tables' doc_id are keys, so that the reverse edge is inferred as well; it is not in the list to compare
-    return rows(spark, "from_table string, from_column string, to_table string, to_column string", [e for e in out if e in known or (e[2], e[3], e[0], e[1]) not in known])
+    return rows(spark, "from_table string, from_column string, to_table string, to_column string", [(r.from_dataset.split(".")[-1], r.from_columns[0], r.to_dataset.split(".")[-1], r.to_columns[0]) for r in cache.relationships])
+
 
+# which columns a key may be: ids first; a table is keyed by the first that is unique
+_KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id", "nation": "n_nationkey", "pages": "page_id", "embeddings": "vec_id", "benchmark": "item_id"}
 
-@query("candidate_keys", "SELECT * FROM (VALUES ('customer', 'c_custkey'), ('orders', 'o_orderkey'), ('events', 'event_id'), ('nation', 'n_nationkey')) t(table_name, grain)")
+
+@query("candidate_keys", " UNION ALL ".join(f"SELECT '{t}' AS table_name, CASE WHEN {_keyed(t, c)} THEN '{c}' ELSE '' END AS grain" for t, c in _KEYS.items()))
 def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cache = mapped(spark, sf_dir, ("customer", "orders", "events", "nation"))
+    _, cache = mapped(spark, sf_dir, tuple(_KEYS))
     return rows(spark, "table_name string, grain string", [(d.name, ",".join(d.grain or [])) for d in cache.datasets])
 
 
@@ -309,17 +329,18 @@ def firewall_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # drift: changed copies of tables against the tables themselves
 
 
-def drifted(spark: SparkSession, sf_dir: str) -> tuple[SparkCatalog, Cache]:
-    """A baseline of orders and customer, and a source in which they changed."""
+def drifted(spark: SparkSession, sf_dir: str, profiled: bool = True) -> tuple[SparkCatalog, Cache]:
+    """A baseline of orders and customer, and a source in which they changed.  Without profiles: names, types and counts."""
     src = source(spark, sf_dir, ("orders", "customer"))
-    base = [relationships.annotate(d) for d in profile.profile(src, src.identifiers())]
-    cache = Cache(datasets=base, relationships=relationships.verify(src, relationships.infer(base).edges))
+    base = [relationships.annotate(d) for d in profile.profile(src, src.identifiers())] if profiled else drift.current_state(src)
+    cache = Cache(datasets=base, relationships=relationships.verify(src, relationships.infer(base).edges) if profiled else [])
     orders, customer = src.frame("main.orders"), src.frame("main.customer")
     late = orders.where("o_orderstatus = 'O'").withColumn("o_custkey", -F.col("o_custkey"))
     changed = SparkCatalog(spark, database="default")
     changed._frames.clear()
-    changed.add("orders", orders.unionByName(late).withColumnRenamed("o_orderpriority", "o_urgency").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")))
-    changed.add("customer", customer.where("c_nationkey < 10"))
+    renamed = orders.unionByName(late).withColumnRenamed("o_orderpriority", "o_urgency").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    changed.add("orders", renamed, view=False)
+    changed.add("customer", customer.where("c_nationkey < 10"), view=False)
     return changed, cache
 
 
@@ -330,13 +351,13 @@ def findings(spark: SparkSession, found: list) -> DataFrame:
 
 @query("drift_schema", "SELECT * FROM (VALUES ('column_added', 'o_urgency', 'low'), ('column_dropped', 'o_orderpriority', 'high'), ('column_retyped', 'o_totalprice', 'high'), ('possible_rename', 'o_orderpriority', 'low')) t(code, column_name, severity)")
 def drift_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed, cache = drifted(spark, sf_dir)
+    changed, cache = drifted(spark, sf_dir, profiled=False)
     return findings(spark, drift.schema_drift(cache.datasets, drift.current_state(changed))).select("code", "column_name", "severity")
 
 
 @query("drift_volume", "SELECT 'main.orders' AS identifier, (SELECT count(*) FROM orders) AS before, (SELECT count(*) + count(CASE WHEN o_orderstatus = 'O' THEN 1 END) FROM orders) AS after UNION ALL SELECT 'main.customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer WHERE c_nationkey < 10)")
 def drift_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed, cache = drifted(spark, sf_dir)
+    changed, cache = drifted(spark, sf_dir, profiled=False)
     found = drift.volume_drift(cache.datasets, drift.current_state(changed))
     return rows(spark, "identifier string, before long, after long", [(f.identifier, f.data["before"], f.data["after"]) for f in found])
 
@@ -376,6 +397,35 @@ def attribution_join_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attributed(spark, sf_dir, "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey", "select c_custkey, o_orderkey from customer inner join orders on c_custkey = o_custkey")
 
 
+_AB = "'{kind}' AS kind, a - b AS delta, b AS baseline_rows, a AS authored_rows, false AS interacts FROM (SELECT (SELECT count(*) FROM ({before})) AS b, (SELECT count(*) FROM ({after})) AS a)"
+_O = "select o_orderkey from orders"
+ATTRIBUTED = {
+    "predicate_added": (_O, f"{_O} where o_totalprice > 5000"),
+    "predicate_removed": (f"{_O} where o_totalprice > 5000", _O),
+    "join_added": ("select c_custkey from customer", "select c_custkey from customer inner join orders on c_custkey = o_custkey"),
+    "join_removed": ("select c_custkey from customer inner join orders on c_custkey = o_custkey", "select c_custkey from customer"),
+    "join_condition_changed": ("select c_custkey from customer left join orders on c_custkey = o_custkey", "select c_custkey from customer left join orders on c_custkey = o_custkey and o_orderstatus = 'F'"),
+    "distinct_added": ("select o_custkey from orders", "select distinct o_custkey from orders"),
+    "distinct_removed": ("select distinct o_orderstatus from orders", "select o_orderstatus from orders"),
+    "group_by_changed": ("select o_custkey, count(*) as n from orders group by o_custkey", "select o_orderstatus, count(*) as n from orders group by o_orderstatus"),
+    "source_changed": ("select * from orders", "select * from customer"),
+}
+for _k, (_before, _after) in ATTRIBUTED.items():
+
+    def _change(spark: SparkSession, sf_dir: str, before: str = _before, after: str = _after) -> DataFrame:
+        return attributed(spark, sf_dir, before, after)
+
+    ALL[f"attribution_{_k}"], ORACLES[f"attribution_{_k}"] = _change, "SELECT " + _AB.format(kind=_k, before=_before, after=_after)
+
+
+@query(
+    "attribution_interaction",
+    "WITH c AS (SELECT count(DISTINCT o_custkey) FILTER (o_orderstatus = 'O') AS b, count(*) AS a, count(DISTINCT o_custkey) AS p, count(*) FILTER (o_orderstatus = 'O') AS d FROM orders) SELECT kind, v - b AS delta, b AS baseline_rows, a AS authored_rows, p + d - 2 * b <> a - b AS interacts FROM (SELECT *, 'predicate_removed' AS kind, p AS v FROM c UNION ALL SELECT *, 'distinct_removed', d FROM c)",
+)
+def attribution_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attributed(spark, sf_dir, "select distinct o_custkey from orders where o_orderstatus = 'O'", "select o_custkey from orders")
+
+
 # metrics
 
 
@@ -391,6 +441,7 @@ def layer(spark: SparkSession, sf_dir: str) -> semantic.SemanticLayer:
         x("revenue", measure="revenue"), x("order_count", measure="order_count"), x("buyers", measure="buyers"), x("customer_count", measure="customer_count"),
         x("average_order", "ratio", numerator="revenue", denominator="order_count"), x("orders_per_buyer", "derived", expr="order_count / buyers", metrics=["order_count", "buyers"]),
         x("revenue_to_date", "cumulative", measure="revenue"), x("revenue_7d", "cumulative", measure="revenue", window="7 days"), x("revenue_mtd", "cumulative", measure="revenue", grain_to_date="month"),
+        x("revenue_3m", "cumulative", measure="revenue", window="3 months"),
         x("open_revenue", measure="revenue", filter="{{ Dimension('order__status') }} = 'O'"), x("view_to_purchase", "conversion", base_measure="views", conversion_measure="purchases", entity="user", window="1 day"),
     ]
     return semantic.SemanticLayer(models, metrics, lambda n: table(spark, sf_dir, n))
@@ -402,6 +453,7 @@ METRICS: dict[str, tuple[semantic.SemanticQuery, str]] = {
     "metric_derived_orders_per_buyer": (semantic.SemanticQuery(["orders_per_buyer"], ["order__status"]), "SELECT o_orderstatus AS order__status, round(count(o_orderkey)::DOUBLE / count(DISTINCT o_custkey), 2) AS orders_per_buyer FROM orders GROUP BY 1"),
     "metric_cumulative_revenue": (semantic.SemanticQuery(["revenue_to_date"], ["metric_time__month"]), "SELECT metric_time__month, round(sum(v) OVER (ORDER BY metric_time__month), 2) AS revenue_to_date FROM (SELECT date_trunc('month', o_orderdate) AS metric_time__month, sum(o_totalprice) AS v FROM orders GROUP BY 1)"),
     "metric_cumulative_window": (semantic.SemanticQuery(["revenue_7d"], ["metric_time"]), "SELECT metric_time, round(sum(v) OVER (ORDER BY metric_time RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 2) AS revenue_7d FROM (SELECT date_trunc('day', o_orderdate) AS metric_time, sum(o_totalprice) AS v FROM orders GROUP BY 1)"),
+    "metric_cumulative_months": (semantic.SemanticQuery(["revenue_3m"], ["metric_time", "order__status"]), "WITH d AS (SELECT date_trunc('day', o_orderdate) AS metric_time, o_orderstatus AS order__status, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT a.metric_time, a.order__status, round(sum(b.v), 2) AS revenue_3m FROM d a JOIN d b ON a.order__status = b.order__status AND b.metric_time <= a.metric_time AND b.metric_time > a.metric_time - INTERVAL 3 MONTH GROUP BY 1, 2"),
     "metric_grain_to_date": (semantic.SemanticQuery(["revenue_mtd"], ["metric_time"]), "SELECT metric_time, round(sum(v) OVER (PARTITION BY date_trunc('month', metric_time) ORDER BY metric_time), 2) AS revenue_mtd FROM (SELECT date_trunc('day', o_orderdate) AS metric_time, sum(o_totalprice) AS v FROM orders GROUP BY 1)"),
     "metric_filtered_where": (semantic.SemanticQuery(["open_revenue", "order_count"], ["customer__segment"], where="{{ Dimension('customer__segment') }} <> 'BUILDING'"), "SELECT c_mktsegment AS customer__segment, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS open_revenue, count(o_orderkey) AS order_count FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 1"),
     "metric_conversion": (semantic.SemanticQuery(["view_to_purchase"]), "SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 DAY) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS view_to_purchase FROM events v WHERE v.event_type = 'view'"),
@@ -501,11 +553,109 @@ def spend_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("reconcile_proposals", "SELECT * FROM (VALUES ('column_added', 'patch'), ('column_dropped', 'patch'), ('column_retyped', 'patch'), ('possible_rename', 'advice')) t(code, kind)")
 def reconcile_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed, cache = drifted(spark, sf_dir)
+    changed, cache = drifted(spark, sf_dir, profiled=False)
     found = drift.schema_drift(cache.datasets, drift.current_state(changed))
     return rows(spark, "code string, kind string", [(p["code"], p["kind"]) for p in drift.reconcile(found)])
 
 
+# notes, over values that show one trait each
+
+NOTED = {
+    "iso_date": (["2024-01-31", "2024-02-01"], "%Y-%m-%d"),
+    "iso_stamp": (["2024-02-01T10:00:00", "2024-02-01 11:00:00"], "%Y-%m-%d %H:%M:%S"),
+    "day_first": (["31/01/2024", "01/02/2024"], "%d/%m/%Y"),
+    "month_first": (["01/31/2024", "01/02/2024"], "%m/%d/%Y"),
+    "either_order": (["01/02/2024", "03/04/2024"], "ambiguous"),
+    "no_order": (["31/01/2024", "01/31/2024"], None),
+    "whole_text": (["1", "22", "12345678901234567890"], "whole numbers"),
+    "decimal_text": (["1.5", "2.25"], "numeric text"),
+    "epoch_text": (["1700000000", "1700000001"], "epoch seconds"),
+    "prose": (["ab", "cd"], None),
+    "has_flag": (["yes", "no", "maybe"], "yes/no flag"),
+}
+_SAID = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "ambiguous", "%d/%m/%Y", "%m/%d/%Y", "epoch seconds", "whole numbers", "numeric text", "yes/no flag")
+
+
+@query("notes_on_values", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{said}')" for c, (_, said) in NOTED.items() if said) + ") t(column_name, said)")
+def notes_on_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for c, (values, _) in NOTED.items():
+        src = SparkCatalog(spark, database="default")
+        src._frames.clear()
+        src.add("noted", rows(spark, f"{c} string", [(v,) for v in values for _ in range(40)]), view=False)
+        (d,) = profile.profile(src, ["main.noted"])
+        out += [(c, next(s for s in _SAID if s in n)) for n in d.data_quality if n.startswith(c) and any(s in n for s in _SAID)]
+    return rows(spark, "column_name string, said string", out)
+
+
+@query("temporal_notes_orders", "SELECT column_name, granularity, date_diff(granularity, lo, hi) + 1 AS span, n AS periods, date_diff(granularity, lo, hi) + 1 - n AS missing FROM (SELECT 'o_orderdate' AS column_name, 'day' AS granularity, min(p) AS lo, max(p) AS hi, count(*) AS n FROM (SELECT DISTINCT date_trunc('day', o_orderdate) AS p FROM orders))")
+def temporal_notes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = source(spark, sf_dir, ("orders",))
+    (d,) = profile.profile(src, ["main.orders"])
+    c = d.column("o_orderdate")
+    return rows(spark, "column_name string, granularity string, span long, periods long, missing long", [(c.name, c.temporal_granularity, c.temporal_span, c.temporal_periods, c.temporal_missing)])
+
+
+# drift of what needs no scan
+
+
+def _plain(name: str, *columns: tuple[str, str, bool]) -> Dataset:
+    from .model import Column
+
+    return Dataset(f"main.{name}", row_count=1, columns=[Column(c, k, n) for c, k, n in columns])
+
+
+_OLD = [_plain("orders", ("id", "bigint", False), ("note", "string", True)), _plain("gone", ("id", "bigint", False)), _plain("old_model", ("id", "bigint", False))]
+_NEW = [_plain("orders", ("id", "bigint", True), ("note", "string", True)), _plain("come", ("id", "bigint", False)), _plain("old_model", ("id", "bigint", False))]
+
+
+def _projects() -> tuple[drift.Project, drift.Project]:
+    model = lambda columns: {"model": "stg", "measures": {"total": {"agg": "sum"}}, "dimensions": [], "columns": columns}
+    old = drift.Project(models={"stg": ["orders"], "old": []}, relations={"stg": "main.stg", "old": "main.old_model"}, semantic_models={"sales": model(["id"]), "left": model([])}, metrics={"revenue": {"measures": ["total"]}, "count": {"measures": ["total"]}}, sources=["main.orders"])
+    new = drift.Project(models={"stg": ["orders"], "mart": ["stg"]}, relations={"stg": "main.orders", "mart": "main.mart"}, semantic_models={"sales": model(["id", "lost"]), "extra": {**model([]), "model": "nowhere"}}, metrics={"revenue": {"measures": ["total"], "filter": "x"}, "share": {"measures": [], "metrics": ["revenue", "unknown"]}}, sources=["main.orders", "main.absent"])
+    return old, new
+
+
+@query("drift_schema_objects", "SELECT * FROM (VALUES ('table_added', 'main.come', 'low'), ('table_dropped', 'main.gone', 'high'), ('nullability_changed', 'main.orders', 'medium'), ('orphan_relation', 'main.old_model', 'medium'), ('dangling_source', 'main.absent', 'high')) t(code, identifier, severity)")
+def drift_schema_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, drift.schema_drift(_OLD, _NEW, None, *_projects())).select("code", "identifier", "severity")
+
+
+@query("drift_semantic_definitions", "SELECT * FROM (VALUES ('definition_added', 'extra', 'low'), ('definition_removed', 'left', 'low'), ('definition_changed', 'sales', 'low'), ('definition_added', 'share', 'low'), ('definition_removed', 'count', 'low'), ('definition_changed', 'revenue', 'low'), ('dangling_reference', 'extra', 'high'), ('dangling_reference', 'sales', 'high'), ('dangling_reference', 'share', 'high')) t(code, identifier, severity)")
+def drift_semantic_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, drift.semantic_free_drift(*_projects(), _NEW)).select("code", "identifier", "severity")
+
+
+@query("drift_impacts_ranked", "SELECT * FROM (VALUES (1, 'column_dropped', 'main.orders', 'mart,stg', 'revenue,share'), (2, 'table_dropped', 'main.gone', '', ''), (3, 'nullability_changed', 'main.orders', 'mart,stg', 'revenue,share'), (4, 'table_added', 'main.come', '', '')) t(rank, code, identifier, models, metrics)")
+def drift_impacts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drift.schema_drift(_OLD[:2], [_plain("orders", ("id", "bigint", True)), _NEW[1]])
+    ranked = drift.rank_findings(drift.annotate_impacts(found, _projects()[1]))
+    return rows(spark, "rank int, code string, identifier string, models string, metrics string", [(i + 1, f.code, f.identifier, ",".join(f.impacted_models), ",".join(f.impacted_metrics)) for i, f in enumerate(ranked)])
+
+
+# names of relations, declared keys, overrides
+
+
+@query("relations_named", "SELECT * FROM (VALUES (1, 'orders'), (2, 'main.customer'), (3, 'nation')) t(n, relation)")
+def relations_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "WITH orders2 AS (SELECT * FROM orders), c AS (SELECT * FROM main.customer) SELECT * FROM orders2 JOIN c ON true WHERE EXISTS (SELECT 1 FROM nation)"
+    return rows(spark, "n int, relation string", [(i + 1, r) for i, r in enumerate(inspect.relations(inspect.parsed(spark, sql)))])
+
+
+@query("declared_joins", "SELECT * FROM (VALUES ('main.orders', 'o_custkey', 'main.customer', 'c_custkey', 1.0::DOUBLE, ''), ('', '', '', '', NULL, 'orders.x -> nowhere.y')) t(from_dataset, from_column, to_dataset, to_column, confidence, unresolved)")
+def declared_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, lost = relationships.declared_edges([("orders", "o_custkey", "raw.main.customer", "c_custkey"), ("orders", "x", "nowhere", "y")], source(spark, sf_dir, ("orders", "customer")).identifiers())
+    found = [(r.from_dataset, r.from_columns[0], r.to_dataset, r.to_columns[0], r.confidence, "") for r in edges] + [("", "", "", "", None, x) for x in lost]
+    return rows(spark, "from_dataset string, from_column string, to_dataset string, to_column string, confidence double, unresolved string", found)
+
+
+@query("pii_overridden", "SELECT * FROM (VALUES ('customer', 'c_name', true), ('nation', 'n_name', false)) t(table_name, column_name, cleared)")
+def pii_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = source(spark, sf_dir, ("customer", "nation"))
+    got = profile.profile(src, src.identifiers(), [pii.Override(column="main.customer.c_name")])
+    return rows(spark, "table_name string, column_name string, cleared boolean", [(d.name, c.name, c.pii is None) for d in got for c in d.columns if c.pii or c.pii_overridden])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile of lineitem: counts, exact distincts and safe extremes of each column."""
     src = source(spark, sf_dir, ("lineitem",))

@@ -200,3 +200,104 @@ def test_init(tmp_path):
         edits.init_project(tmp_path, "fresh")
     with pytest.raises(Refused):
         edits.init_project(tmp_path / "x", "not a name")
+
+
+def test_k_means_against_plain_loops():
+    import numpy as np
+    from siltstone.operators import cluster
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 2)) for c in ((0, 0), (5, 5), (0, 6))])
+    inertia, centres = min((cluster.k_means(x, 3, [0, 3, i]) for i in range(10)), key=lambda f: f[0])
+    own = np.array([min(range(3), key=lambda c: ((p - centres[c]) ** 2).sum()) for p in x])
+    assert abs(inertia - sum(((x[own == c] - x[own == c].mean(0)) ** 2).sum() for c in range(3))) < 1e-6
+    assert sorted(np.bincount(own)) == [60, 60, 60]
+    total = 0.0
+    for i, p in enumerate(x):
+        d = np.sqrt(((x - p) ** 2).sum(1))
+        a = d[own == own[i]].sum() / ((own == own[i]).sum() - 1)
+        b = min(d[own == c].mean() for c in range(3) if c != own[i])
+        total += (b - a) / max(a, b)
+    assert abs(cluster.silhouette(x, own) - total / len(x)) < 1e-9
+
+
+def test_clusters_of_few_points(spark):
+    from siltstone.operators import cluster
+
+    two = spark.createDataFrame([(float(i % 2), float(i % 2)) for i in range(60)], "a double, b double")
+    assert cluster.cluster(two, ["a", "b"]).sizes == [30, 30]
+    for k in (0, 1, 3):
+        with pytest.raises(ValueError):
+            cluster.cluster(two, ["a", "b"], k=k)
+    with pytest.raises(ValueError):
+        cluster.cluster(spark.createDataFrame([(1.0, 1.0)] * 60, "a double, b double"), ["a", "b"])
+    odd = spark.createDataFrame([(float(i % 3) * 50 + i % 5 * 0.1, float(i % 3)) for i in range(300)] + [(None, 1.0), (2.0, None)], "a double, b double")
+    got = cluster.cluster(odd, ["a", "b"])
+    assert got.k == 3 and got.sizes == [100, 100, 100] and got.dropped == 2
+
+
+def test_views_of_the_caller_are_not_replaced(spark, tmp_path):
+    from siltstone.sources.catalog import SparkCatalog
+
+    spark.range(3).write.parquet(str(tmp_path / "mine_alone.parquet"))
+    spark.range(7).createOrReplaceTempView("mine_alone")
+    with pytest.raises(ValueError, match="mine_alone"):
+        SparkCatalog(spark, data_dir=str(tmp_path))
+    assert spark.table("mine_alone").count() == 7
+    spark.catalog.dropTempView("mine_alone")
+    source = SparkCatalog(spark, data_dir=str(tmp_path))
+    assert spark.table("mine_alone").count() == 3
+    SparkCatalog(spark, data_dir=str(tmp_path))  # its own it may replace
+    source.close()
+    assert not spark.catalog.tableExists("mine_alone")
+
+
+def test_sizes_of_catalog_tables_are_estimated(spark, tmp_path):
+    from siltstone.operators import drift
+    from siltstone.plans.costs import Gate, OverBudget
+    from siltstone.sources.catalog import SparkCatalog
+    from siltstone.sources.store import MemoryStore
+
+    spark.range(5000).write.parquet(str(tmp_path / "t"))
+    source = SparkCatalog(spark, database="default", sample_bytes=10)
+    source._frames.clear()
+    name = source.add("sized_t", spark.read.parquet(str(tmp_path / "t")), view=False)
+    assert source.bytes_of(name) > 1000 and source.scan(name)[1]
+    assert drift.grain_estimate(source, drift.GrainPlan(singles={name: ["id"]})) > 1000
+    with pytest.raises(OverBudget):
+        Gate(MemoryStore(), "billed", 100, 100).preflight(None)
+
+
+def test_trailing_windows_where_clocks_change(spark):
+    """Seven days are seven days in the week in which one of them has 23 hours, and months are calendar months."""
+    import datetime as dt
+
+    from siltstone.plans import semantic
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        days = spark.sql("SELECT cast(date_add(DATE '2024-02-20', cast(id AS int)) AS timestamp) AS at, 1 AS one FROM range(40)")
+        model = semantic.Model("m", "t", [semantic.Entity("x", "primary", "one")], [semantic.Dimension("at", "time", "at")], [semantic.Measure("n", "sum", "one")], "at")
+        metrics = [semantic.Metric("week", "cumulative", measure="n", window="7 days"), semantic.Metric("month", "cumulative", measure="n", window="1 month")]
+        layer = semantic.SemanticLayer([model], metrics, lambda _: days)
+        week = layer.compile(semantic.SemanticQuery(["week"], ["metric_time"])).orderBy("metric_time").collect()
+        assert [r.week for r in week] == [min(i + 1, 7) for i in range(40)]
+        month = {r.metric_time.date(): r.month for r in layer.compile(semantic.SemanticQuery(["month"], ["metric_time"])).collect()}
+        assert month[dt.date(2024, 3, 25)] == 29 and month[dt.date(2024, 3, 30)] == 30
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_what_a_statement_lacks(spark, tmp_path):
+    from siltstone.engine import Engine
+
+    spark.range(5).write.parquet(str(tmp_path / "gap_a.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "gap_b.parquet"))
+    e = Engine(spark=spark, data_dir=str(tmp_path))
+    e.profile(["gap_a"])
+    gaps = e.object_gap("SELECT * FROM gap_a JOIN gap_b USING (id) JOIN main.nowhere USING (id) JOIN other.place USING (id)")
+    assert [(g["relation"], g["gap"]) for g in gaps] == [("gap_b", "unprofiled"), ("main.nowhere", "missing"), ("other.place", "foreign")] and gaps[0]["bytes"] > 0
+    got = e.query_batch("SELECT count(*) AS n FROM gap_a; SELECT count(*) AS n FROM gap_b")
+    assert [g["result"].cells for g in got] == [[[5]], [[5]]] and e.object_gap("SELECT * FROM gap_b") == []
+    e.close()

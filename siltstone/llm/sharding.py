@@ -6,8 +6,11 @@ it into a canonical order and shuffles it by Fisher-Yates with a generator seede
 bucket).  Partition i of the result is bucket i in its final order, so that writing it yields one
 file a shard.  The result depends on the rows and the seed alone, not on files, tasks or retries.
 
-Edge cases: null columns and null ids are hashed and ordered like values.  Equal records share a
-bucket and keep their number; their mutual order has no meaning.  A record larger than a bucket
+Records that repeat, by any number, are counted first (map-side); one of each is then spread as so many copies, each
+with its number in its hash, so that no bucket gets them all.
+
+Edge cases: null columns and null ids are hashed and ordered like values.  Equal records (by 128 bits of hash) keep
+their number; their mutual order has no meaning.  Maps at any depth are hashed as JSON text.  A record larger than a bucket
 makes its bucket that large.  An empty table gives no rows.  Input columns named ``shard`` or
 ``position`` are returned as ``shard_src`` and ``position_src``.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, small_batches, without_clash
+from .common import Written, col, small_batches, without_clash
 
 
 @dataclass
@@ -46,14 +49,36 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
 
 
 def record_hash(df: DataFrame, seed: int) -> Column:
-    """Seeded 64-bit hash of a whole record; map columns (not hashable) enter as sorted text."""
+    """Seeded 64-bit hash of a whole record; columns that hold maps, which have no hash, enter as JSON text."""
     parts = [F.lit(seed)]
     for f in df.schema.fields:
         c = col(f.name)
-        parts += [c.isNull(), F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else c]
+        parts += [c.isNull(), F.to_json(F.struct(c)) if holds_map(f.dataType) else c]
     return F.xxhash64(*parts)
 
 
+def holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and holds_map(kind.elementType))
+
+
+def with_copy_numbers(df: DataFrame, seed: int) -> DataFrame:
+    """The rows with ``shard`` and ``position``: two hashes of the record and, if it repeats, the number of the copy."""
+    hashed = df.withColumn("shard", record_hash(df, seed)).withColumn("position", record_hash(df, seed + 1))
+    store = Written(df.sparkSession)
+    again = store.put(hashed.groupBy("shard", "position").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    n = again.count()
+    if not n:
+        return hashed
+    side = F.broadcast(again) if n <= 1_000_000 else again  # 24 bytes a record
+    once = hashed.join(side.drop("n"), ["shard", "position"], "left_anti")
+    rest = hashed.join(side.drop("n"), ["shard", "position"], "left_semi").groupBy("shard", "position").agg(F.first(F.struct(*[col(c) for c in df.columns])).alias("record"))
+    copies = rest.join(side, ["shard", "position"]).select("record", "shard", "position", F.explode(F.expr("sequence(0L, n - 1)")).alias("copy"))
+    copies = copies.select("record.*", F.xxhash64("shard", "copy").alias("shard"), F.xxhash64("position", "copy").alias("position"))
+    return once.select(*[col(c) for c in df.columns], "shard", "position").unionByName(copies)
+
+
 def total_bytes(df: DataFrame) -> int:
     """Bytes of all records: strings and binaries by length, other columns 8 each."""
     parts = []
@@ -77,7 +102,7 @@ def shuffle(df: DataFrame, p: Params | None = None) -> DataFrame:
     df = without_clash(df, ("shard", "position"))
     n = max(1, math.ceil(total_bytes(df) / p.bucket_bytes))
     seed, names = p.seed, df.columns
-    hashed = df.withColumn("shard", F.pmod(record_hash(df, seed), F.lit(n)).cast("int")).withColumn("position", record_hash(df, seed + 1))
+    hashed = with_copy_numbers(df, seed).withColumn("shard", F.pmod("shard", F.lit(n)).cast("int"))
     out_type = T.StructType([*hashed.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,3 +66,22 @@ def test_written_shards(spark, medium, tmp_path):
     back = sharding.write_shards(docs, str(tmp_path / "out"), sharding.Params(bucket_bytes=500_000))
     assert back.count() == 1000
     assert len(list((tmp_path / "out").glob("*.parquet"))) == back.select("shard").distinct().count()
+
+
+def test_a_record_repeated_by_a_third_of_all_is_spread(spark):
+    p = sharding.Params(bucket_bytes=2000)
+    rows = [(7, "the same record", 1)] * 300 + [(i, f"record {i}", None) for i in range(100, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    got = sharding.shuffle(docs, p).collect()
+    assert Counter((r.doc_id, r.text, r.shard_src) for r in got) == Counter(rows)
+    sizes = Counter(r.shard for r in got)
+    hot = Counter(r.shard for r in got if r.doc_id == 7)
+    assert len(sizes) > 8 and max(hot.values()) < 80 and max(sizes.values()) < 160
+    again = sharding.shuffle(docs.repartition(7), p).collect()
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_maps_at_any_depth(spark):
+    docs = spark.createDataFrame([(1, [{"a": 1}], ({"b": 2},)), (2, None, None)], "doc_id long, l array<map<string,int>>, s struct<m:map<string,int>>")
+    assert sorted(r.doc_id for r in sharding.shuffle(docs).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in sharding.shuffle(docs.union(docs)).collect()) == [1, 1, 2, 2]

@@ -3,13 +3,15 @@
 Candidates are strings in a sensitive context: assigned to a name such as ``password`` or ``token``, or
 to an identifier with such a part (``SECRET_KEY_BASE``), bearing a provider's prefix (``AKIA``, ``ghp_``), standing shortly behind a sensitive word or behind
 another such string of its line, or a PEM block.  The compressor is primed with a dictionary of code identifiers, sensitive names and usual
-placeholders.  A candidate's novelty is the number of bytes by which the compressed surroundings
+placeholders, and of the corpus' own identifiers: the names without digits that values are assigned to, of which the
+``corpus_names`` that stand in most documents are taken (counted over all of them, from ``min_documents`` on).  A candidate's novelty is the number of bytes by which the compressed surroundings
 grow when it is put back in its place, over its length: words, placeholders and repetitions of what
 stands around cost next to nothing, keys cost all their entropy.  Other occurrences of the candidate
 in a sensitive context are cut from its surroundings: they would vouch for each other.  From
 ``min_novelty`` on it is reported.
 
-Edge cases: null and empty texts report nothing.  Of overlapping candidates that are novel the first is
+Edge cases: null and empty texts report nothing.  Whole texts are searched, however long; a candidate is measured
+against ``around`` characters on either side, so that the work is linear.  Sensitive words are told by ASCII letters of either case.  Of overlapping candidates that are novel the first is
 reported, then the longest.
 Each occurrence is reported at its offset (characters from 0); repeated rows repeat.  The secret itself
 is never returned, only its first four characters, its length and its SHA-256.  An empty table gives
@@ -38,10 +40,10 @@ RULES = [
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)(?:-----END|\Z)", re.S)),
     ("prefix", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk(?:-|_live_)[A-Za-z0-9_-]{16,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)(?![A-Za-z0-9])")),
     # the name may go on as an identifier: _PROD, .key, Key, a plural s
-    ("assigned", re.compile(rf"(?i:{NAMES})(?:s?(?:[_.-][\w.-]{{0,100}}+|[A-Z0-9]\w{{0,100}}+)?)[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"',;]{{8,}})")),
+    ("assigned", re.compile(rf"(?ai:{NAMES})(?:s?(?:[_.-][\w.-]{{0,100}}+|[A-Z0-9]\w{{0,100}}+)?)[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"',;]{{8,}})")),
 ]
 # a sensitive word, alone or as a part of an identifier: SECRET_KEY, authToken
-WORD = re.compile(rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{NAMES})(?:s?(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
+WORD = re.compile(rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?ai:{NAMES})(?:s?(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 REACH = 40  # characters of a line behind a sensitive word, or behind a run in its reach, in which a run may begin
 DICTIONARY = " ".join(
@@ -63,6 +65,8 @@ class Params:
     around: int = 128  # characters of surroundings on each side
     min_novelty: float = 0.45  # marginal bytes for each byte of the candidate
     min_bytes: int = 6
+    corpus_names: int = 1024
+    min_documents: int = 5
 
 
 def near(text: str) -> Iterator[tuple[int, int]]:
@@ -91,9 +95,26 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, rule[a, b]) for a, b in sorted(rule, key=lambda x: (x[0], -x[1]))]
 
 
+def dictionary(names: list[str]) -> bytes:
+    return " ".join([*reversed(names), ""]).encode("utf-8", "surrogatepass") + DICTIONARY
+
+
+#: A name to which a value is assigned; without digits, so that no key can pass for one.
+ASSIGNED = r"(?<![\w.-])([A-Za-z_][A-Za-z_.-]{2,31})[\"']?[ \t]*[:=]"
+
+
+def corpus_names(docs: DataFrame, p: Params) -> list[str]:
+    """The names that values are assigned to in most documents, most frequent first; a top-k over counts of all documents."""
+    text = col("text")
+    found = docs.where(text.contains("=") | text.contains(":")).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)))).alias("name"))
+    counted = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_documents)
+    return [r.name for r in counted.orderBy(F.desc("n"), "name").limit(p.corpus_names).collect()]
+
+
 class Novelty:
-    def __init__(self) -> None:
-        primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, names: list[str] | None = None) -> None:
+        """names: the corpus' identifiers, most frequent first; those lie at the end of the dictionary, nearest to the text."""
+        primed = zstandard.ZstdCompressionDict(dictionary(names or []), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         # even a lone candidate is measured inside a block that zstd compresses, not stores
         self.frame = DICTIONARY[:160]
         self.pack = zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_checksum=False).compress
@@ -143,10 +164,11 @@ def secrets(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """doc_id, offset, length, rule, marginal_bytes, novelty, preview, sha256: one row for each secret."""
     p = p or Params()
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_names(docs, p))  # at most corpus_names of 32 bytes
     kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("rule", pa.string()), ("marginal_bytes", pa.int64()), ("novelty", pa.float64()), ("preview", pa.string()), ("sha256", pa.string())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        novelty = Novelty()
+        novelty = Novelty(shared.value)
         for texts in batches:
             yield pa.array([scan(t, novelty, p) for t in texts.to_pylist()], kind)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import string
 
 from siltstone.llm import queries, secrets
@@ -46,9 +47,56 @@ def test_fields():
     assert r["sha256"] == hashlib.sha256(b"q8Zr2LmX0vTn5KwYb7Hc").hexdigest() and r["preview"] == "q8Zr..." and r["rule"] == "assigned"
 
 
+def names_of(texts, p):
+    """The corpus' names by plain loops."""
+    counts = {}
+    for t in texts:
+        for name in {m[1] for m in re.finditer(secrets.ASSIGNED, t or "", re.A)}:
+            counts[name] = counts.get(name, 0) + 1
+    return [n for n, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c >= p.min_documents][: p.corpus_names]
+
+
+def test_names_of_the_corpus(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    names = secrets.corpus_names(docs, secrets.Params())
+    assert names == names_of([r.text for r in docs.collect()], secrets.Params()) and "token" in names
+    rows = [(i, f"billing_gateway_endpoint = {i}, AKIA{i:016d}: x, q{i}w8e7r6t5: 1") for i in range(9)]
+    assert secrets.corpus_names(spark.createDataFrame(rows, "doc_id long, text string"), secrets.Params()) == ["billing_gateway_endpoint"]
+
+
+def test_corpus_names_cost_less_than_keys():
+    """A value that is one of the corpus' own names is no secret; a key beside it still is."""
+    name = "billing_gateway_endpoint_resolver"
+    p = secrets.Params()
+    assert secrets.scan(f"secret = {name}", secrets.Novelty(), p) and not secrets.scan(f"secret = {name}", secrets.Novelty([name]), p)
+    assert secrets.scan("secret = q8Zr2LmX0vTn5KwYb7Hc", secrets.Novelty([name]), p)
+
+
+def test_marginal_bytes_by_an_independent_computation():
+    """Sizes of whole frames by the streaming interface, with the dictionary put together by hand."""
+    import io
+
+    import zstandard
+
+    names = ["alpha_name", "beta_name"]
+    primed = zstandard.ZstdCompressionDict(b"beta_name alpha_name " + secrets.DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def size(text):
+        out = io.BytesIO()
+        with zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_checksum=False).stream_writer(out, closefd=False) as w:
+            w.write(secrets.DICTIONARY[:160] + text.encode())
+        return len(out.getvalue())
+
+    rng = random.Random(9)
+    for _ in range(50):
+        before, key, after = "some text token = ", random_key(rng, rng.randint(8, 60)), " and more of it"
+        assert abs(secrets.Novelty(names).marginal(before, key, after) - (size(before + key + after) - size(before + after))) <= 1
+
+
 def test_query_against_brute_force(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet").collect()
-    want = sorted((r.doc_id, s["offset"], s["sha256"], s["marginal_bytes"]) for r in docs for s in scan(r.text))
+    novelty = secrets.Novelty(names_of([r.text for r in docs], secrets.Params()))
+    want = sorted((r.doc_id, s["offset"], s["sha256"], s["marginal_bytes"]) for r in docs for s in secrets.scan(r.text, novelty, secrets.Params()))
     got = sorted((r.doc_id, r.offset, r.sha256, r.marginal_bytes) for r in queries.op9_secrets(spark, medium).collect())
     assert got == want and want
 

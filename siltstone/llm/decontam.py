@@ -13,7 +13,7 @@ Edge cases: null, blank or wordless texts match nothing.  An item shorter than `
 has one seed, itself whole.  Repeated documents are each reported; repeated item rows are used
 once; an item_id with two texts is two items.  Equal-length matches are tiled in order of the
 document's position, then the item's.  An empty documents or benchmark table gives no pairs.
-Case and punctuation are ignored.  Only doc_id, text, item_id are read; ``drop_contaminated`` carries
+Case and punctuation are ignored.  Very long texts are tokenised whole.  Only doc_id, text, item_id, which keep their types, are read; ``drop_contaminated`` carries
 all other columns.
 """
 
@@ -28,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import col, free_name, small_batches
 
 WORDS = re.compile(r"\w+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-HIT = "array<struct<item_id:bigint,coverage:double,tiles:int,longest:int>>"
+HIT = "coverage:double,tiles:int,longest:int"
 
 
 @dataclass
@@ -153,7 +155,7 @@ class Index:
             covered = sum(k for _, _, k in tiles) / len(item)
             if covered >= self.p.min_coverage:
                 out.append((key, covered, len(tiles), max(k for _, _, k in tiles)))
-        return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, -r[1]))
+        return sorted(out, key=lambda r: (r[0] is None, *([] if r[0] is None else [r[0]]), -r[1]))
 
 
 def slices(benchmark: DataFrame, p: Params) -> Iterator[list[tuple[int | None, list[str]]]]:
@@ -173,17 +175,17 @@ def slices(benchmark: DataFrame, p: Params) -> Iterator[list[tuple[int | None, l
         yield part
 
 
-def hits_column(docs: DataFrame, items: list, p: Params):
+def hits_column(docs: DataFrame, items: list, p: Params, item_type: T.DataType):
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((items, p))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32())]))
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(*shared.value)
         for texts in batches:
             yield pa.array([[dict(zip(("item_id", "coverage", "tiles", "longest"), h, strict=True)) for h in index.hits(t)] for t in texts.to_pylist()], kind)
 
-    return F.arrow_udf(run, HIT)(col("text"))
+    return F.arrow_udf(run, f"array<struct<item_id:{item_type.simpleString()},{HIT}>>")(col("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params | None = None) -> DataFrame:
@@ -191,10 +193,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params | None = None)
     p = p or Params()
     out = None
     for items in slices(benchmark, p):
-        one = docs.select(col("doc_id").alias("doc_id"), F.inline(hits_column(docs, items, p)))
+        one = docs.select(col("doc_id").alias("doc_id"), F.inline(hits_column(docs, items, p, benchmark.schema["item_id"].dataType)))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, coverage double, tiles int, longest int")
+        return docs.select(col("doc_id").alias("doc_id"), *[F.lit(None).cast(k).alias(c) for c, k in (("item_id", benchmark.schema["item_id"].dataType), ("coverage", "double"), ("tiles", "int"), ("longest", "int"))]).where("false")
     return out
 
 
@@ -203,5 +205,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Params | None =
     p = p or Params()
     name = free_name(docs, "hits__")
     for items in slices(benchmark, p):
-        docs = docs.withColumn(name, F.size(hits_column(docs, items, p))).where(col(name) == 0).drop(name)
+        docs = docs.withColumn(name, F.size(hits_column(docs, items, p, benchmark.schema["item_id"].dataType))).where(col(name) == 0).drop(name)
     return docs

@@ -107,3 +107,11 @@ def test_dropping_keeps_all_else(spark, odd_docs, no_docs, medium):
     assert decontam.drop_contaminated(odd_docs, none).count() == odd_docs.count()
     assert decontam.contaminated(odd_docs, none).collect() == []
     assert decontam.contaminated(no_docs, bench).collect() == []
+
+
+def test_items_may_have_any_id(spark):
+    text = "the quick brown fox jumps over the lazy dog while seven owls watch"
+    docs = spark.createDataFrame([("a", f"so {text} indeed")], "doc_id string, text string")
+    items = spark.createDataFrame([("x-1", text), (None, text + " again and again")], "item_id string, text string")
+    assert {r.item_id for r in decontam.contaminated(docs, items).collect()} == {"x-1", None}
+    assert decontam.drop_contaminated(docs, items).count() == 0

@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
 read again as the docs of the next.  All but the last return the columns of documents.
+
+Edge cases: rows with a null or wordless text have no language and go with the first stage.  Null ids, sources and labels
+stay; of rows that repeat one stays (near copies).  Very long texts are read, sanitised and packed whole; windows of the
+last stage are cut from them.  Ties between near copies go to the smallest doc_id.  Extra columns travel to
+the last stage but one, and may have any names.  An empty table gives an empty result.  The tables written between stages
+lie in the shared folder and are deleted when the session's process ends.
 """
 
 from __future__ import annotations

@@ -27,6 +27,7 @@ to the one rewriting pass in slices of ``slice_terms``; about 100 bytes a term i
 
 Edge cases: a null text stays null with zero counts, an empty one empty.  Entities of a
 class are taken from left to right, the longest first, and never overlap.  Ties of a term between entities: the higher ratio counts.
+Letters of the words before credentials are ASCII, of either case.
 Repeated rows are each rewritten, and count as one document.  A document without entities and disclosing terms returns
 unchanged, to the byte.  An empty table gives no rows.  Only doc_id and text are read.
 """
@@ -50,7 +51,7 @@ DIGITS = re.compile(r"\d\d|\d\.\d")  # without one of these no pattern of NUMBER
 CREDENTIAL = re.compile(
     r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[pousr]_\w{20,}|(?<!\w)xox[abprs]-[\w-]{10,}|(?<!\w)sk-[\w-]{16,}|(?<!\w)eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*"
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
-    r"|(?i:(?<=password)|(?<=passwd)|(?<=secret)|(?<=token)|(?<=api_key)|(?<=api-key)|(?<=apikey)|(?<=pwd))[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"',;]{6,})",
+    r"|(?ai:(?<=password)|(?<=passwd)|(?<=secret)|(?<=token)|(?<=api_key)|(?<=api-key)|(?<=apikey)|(?<=pwd))[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"',;]{6,})",
     re.S,
 )
 SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ", "PRIVATE KEY")

@@ -261,6 +261,7 @@ def sample_value(kind: str) -> object:
 def scaffold_unit_test(spark: SparkSession, project: TransformProject, model: str, schemas: dict[str, dict[str, str]]) -> Edit:
     """A unit test with one typed row for each input: only the columns that the model reads, by lineage of the analyzed plan."""
     m = project.models[model]
+    spark = spark.newSession()  # with views of its own: those of the caller stay
     inputs = {r: f"ref('{r}')" for r in m.refs} | {t: f"source('{s}', '{t}')" for s, t in m.sources}
     for name in inputs:
         if name not in schemas:
@@ -268,11 +269,7 @@ def scaffold_unit_test(spark: SparkSession, project: TransformProject, model: st
         spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in schemas[name].items())).createOrReplaceTempView(name)
     from . import inspect
 
-    try:
-        read = inspect.columns_read(spark.sql(strip_jinja(m.sql)))
-    finally:
-        for name in inputs:
-            spark.catalog.dropTempView(name)
+    read = inspect.columns_read(spark.sql(strip_jinja(m.sql)))
     given = []
     for name, ref in inputs.items():
         used = [c for c in schemas[name] if c.lower() in read.get(name.lower(), set())] or list(schemas[name])[:1]

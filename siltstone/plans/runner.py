@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import quoted
@@ -76,7 +76,7 @@ def compiled(project: TransformProject, target: str, model: str, built: set[str]
             return (sources or {}).get(name, rel)
         if name not in project.models:
             raise LookupError(f"{model} reads {name}, which is no model")
-        return f"`{target}`.`{name}`"
+        return f"`{schema_name(target, project.models[name].layer)}`.`{name}`"
 
     return attribution.render(project.models[model].sql, resolve)
 
@@ -98,12 +98,13 @@ def estimate(spark: SparkSession, project: TransformProject, target: str, select
 
 def build(spark: SparkSession, project: TransformProject, target: str, select: list[str] | None = None, sources: dict[str, str] | None = None, test: bool = True) -> list[Built]:
     """Each model after those it reads; what reads a failed one is skipped."""
-    assert_dev(target)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{target}`")
+    for database in sorted({schema_name(target)} | {schema_name(target, m.layer) for m in project.models.values()}):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     out: dict[str, Built] = {}
     for name in selected(project, select):
         m = project.models[name]
-        r = out[name] = Built(name, f"{target}.{name}", m.materialized)
+        database = schema_name(target, m.layer)
+        r = out[name] = Built(name, f"{database}.{name}", m.materialized)
         lost = [x for x in m.refs if x in out and out[x].status != "ok"]
         if lost:
             r.status, r.message = "skipped", f"{lost[0]} was not built"
@@ -112,42 +113,55 @@ def build(spark: SparkSession, project: TransformProject, target: str, select: l
             sql = compiled(project, target, name, set(out), sources)
             assert_select_only(spark, sql)
             if m.materialized in ("table", "incremental"):
-                spark.sql(sql).write.mode("overwrite").saveAsTable(f"`{target}`.`{name}`")
+                spark.sql(sql).write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
             else:
-                spark.sql(f"CREATE OR REPLACE VIEW `{target}`.`{name}` AS {sql}")
+                spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS {sql}")
         except Exception as e:
             r.status, r.message = "error", str(e).strip().splitlines()[0]
             continue
-    for t in project.tests if test else ():  # once all are built, for a test may read two models
-        r = out.get(t["model"])
-        if r and r.status in ("ok", "failed tests"):
-            try:
-                n = failing(spark, project, target, t)
-            except AnalysisException as e:
-                r.status, r.message = "error", str(e).strip().splitlines()[0]
-                continue
-            if n:
-                r.failures[f"{t['test']}:{t['column'] or ''}"] = n
-                r.status = "failed tests"
+    for name, r in out.items() if test else ():  # once all are built, for a test may read two models
+        tests = [t for t in project.tests if t["model"] == name and r.status == "ok"]
+        try:
+            for label, n in failures(spark, project, target, tests).items():
+                if n:
+                    r.failures[label] = n
+                    r.status = "failed tests"
+        except AnalysisException as e:
+            r.status, r.message = "error", str(e).strip().splitlines()[0]
     return list(out.values())
 
 
+def failures(spark: SparkSession, project: TransformProject, target: str, tests: list[dict]) -> dict[str, int]:
+    """Failures of the tests of one model: those of single rows come from one pass over it, the others from a job each."""
+    out: dict[str, int] = {}
+    by_row = [t for t in tests if t["test"] in ("not_null", "accepted_values")]
+    label = lambda t: f"{t['test']}:{t['column'] or ''}"
+    if by_row:
+        m = project.models[by_row[0]["model"]]
+        df = spark.table(f"`{schema_name(target, m.layer)}`.`{m.name}`")
+
+        def broken(t: dict) -> Column:
+            c = quoted(t["column"])
+            return c.isNull() if t["test"] == "not_null" else c.isNotNull() & ~c.cast("string").isin([str(v) for v in t["args"].get("values", [])])
+
+        row = df.agg(*[F.count(F.when(broken(t), 1)).alias(f"f{i}") for i, t in enumerate(by_row)]).first()
+        out = {label(t): row[i] for i, t in enumerate(by_row)}
+    return out | {label(t): failing(spark, project, target, t) for t in tests if t not in by_row}
+
+
 def failing(spark: SparkSession, project: TransformProject, target: str, t: dict) -> int:
     """How many rows (or values) break a schema test."""
-    df = spark.table(f"`{target}`.`{t['model']}`")
+    place = lambda model: f"`{schema_name(target, project.models[model].layer)}`.`{model}`"
+    df = spark.table(place(t["model"]))
     c = quoted(t["column"]) if t["column"] else None
     kind, args = t["test"], t["args"]
-    if kind == "not_null":
-        return df.where(c.isNull()).count()
     if kind == "unique":
         return df.where(c.isNotNull()).groupBy(c).count().where("count > 1").count()
-    if kind == "accepted_values":
-        return df.where(c.isNotNull() & ~c.cast("string").isin([str(v) for v in args.get("values", [])])).count()
     if kind == "unique_combination_of_columns":
         return df.groupBy(*[quoted(x) for x in args.get("combination_of_columns", [])]).count().where("count > 1").count()
     if kind == "relationships":
         hit = re.search(r"ref\(\s*['\"](\w+)['\"]", str(args.get("to", "")))
-        parent = spark.table(f"`{target}`.`{hit[1]}`" if hit else str(args.get("to")))
+        parent = spark.table(place(hit[1]) if hit else str(args.get("to")))
         keys = parent.select(quoted(args["field"]).alias("k")).distinct()
         return df.where(c.isNotNull()).join(keys, c == F.col("k"), "left_anti").count()
     raise Refused(f"unknown test {kind}")

@@ -8,6 +8,7 @@ entity that is primary or unique there, so that no join can multiply facts.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Cache, QueryResult
 from ..operators import pii
@@ -308,9 +310,21 @@ class SemanticLayer:
         left = self.base(base_model, q.group_by, q.where, tb, q.grain, m.filter).where(F.expr(base.expr or "true").cast("boolean") if base.agg == "sum_boolean" else F.lit(True))
         left = left.select(*keys, F.expr(ent(base_model)).alias("e::"), F.expr(tb).alias("t::"))
         right = self.frame(conv_model.relation).where(F.expr(conv.expr).cast("boolean") if conv.agg == "sum_boolean" else F.lit(True)).select(F.expr(ent(conv_model)).alias("e::"), F.expr(tc).alias("t::"))
-        # the next conversion of the entity, from one sorted pass instead of a range join
+        # the next conversion of the entity, from one sorted pass instead of a range join; where the window has a fixed length, an
+        # entity is cut into stretches of that length, a conversion counting in its own and in the one before, so that none is one task
+        stretch = F.lit(0).cast("long")
+        n, _, unit = (m.window or "").partition(" ")
+        size = int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}.get(unit.lower().rstrip("s"), 0) if m.window else 0
+        if size:
+            stretch = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("`t::`").cast("timestamp_ntz")) / size)
+            # clocks that change move a stretch by up to an hour
+            slack = math.ceil(3600 / size) if isinstance(right.schema["t::"].dataType, T.TimestampType) or isinstance(left.schema["t::"].dataType, T.TimestampType) else 0
+            right = right.withColumn("s::", F.explode(F.sequence(stretch - F.lit(1 + slack), stretch + F.lit(slack))))
+        else:
+            right = right.withColumn("s::", stretch)
+        left = left.withColumn("s::", stretch)
         union = left.withColumn("base::", F.lit(True)).unionByName(right.withColumn("base::", F.lit(False)), allowMissingColumns=True)
-        ahead = Window.partitionBy("e::").orderBy(F.col("`t::`"), F.col("`base::`").desc()).rowsBetween(0, Window.unboundedFollowing)
+        ahead = Window.partitionBy("e::", "s::").orderBy(F.col("`t::`"), F.col("`base::`").desc()).rowsBetween(0, Window.unboundedFollowing)
         nxt = F.min(F.when(~F.col("`base::`"), F.col("`t::`"))).over(ahead)
         rows = union.withColumn("next::", nxt).where(F.col("`base::`"))
         done = F.col("`next::`").isNotNull()

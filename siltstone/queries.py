@@ -6,17 +6,18 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import types
+from . import envelope, types
 from .functions import stats
 from .functions.stats import quoted
 from .model import Cache, ColumnMeta, Dataset
 from .operators import cluster as clusters
 from .operators import cumulative, diagram, drift, pii, profile, rank, relationships
 from .operators.unpivot import unpivot_json_object
-from .plans import attribution, costs, firewall, guard, inspect, runner, semantic
+from .plans import attribution, costs, edits, firewall, guard, inspect, runner, semantic
 from .sources.catalog import SparkCatalog, period_gaps, value_counts
 from .sources.store import MemoryStore
 
@@ -656,6 +657,113 @@ def pii_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "table_name string, column_name string, cleared boolean", [(d.name, c.name, c.pii is None) for d in got for c in d.columns if c.pii or c.pii_overridden])
 
 
+# unnesting, recursion, metric definitions, edits, what may leave
+
+_VERDICTS = {
+    "unnest_own_column": ("SELECT k, v FROM region LATERAL VIEW explode(array(r_regionkey)) x AS v LATERAL VIEW explode(array(r_regionkey)) y AS k", "allowed"),
+    "unnest_flagged": ("SELECT v FROM customer LATERAL VIEW explode(split(c_name, ' ')) x AS v", "refused"),
+    "unnest_counted": ("SELECT count(v) AS n FROM customer LATERAL VIEW explode(split(c_name, ' ')) x AS v", "allowed"),
+    "unnest_literal": ("SELECT v FROM region LATERAL VIEW explode(array(1, 2)) x AS v", "refused"),
+    "unnest_sequence": ("SELECT v FROM region LATERAL VIEW explode(sequence(1, r_regionkey)) x AS v", "refused"),
+    "unknown_function": ("SELECT mask_it(c_name) AS m FROM customer", "refused"),
+    "star": ("SELECT * FROM customer", "refused"),
+    "scalar_subquery": ("SELECT (SELECT max(c_name) FROM customer) AS m", "refused"),
+    "length_averaged": ("SELECT avg(length(c_name)) AS l FROM customer", "allowed"),
+    "grouped_unshown": ("SELECT count(*) AS n FROM customer GROUP BY c_name", "allowed"),
+    "two_statements": ("SELECT 1; SELECT 2", "refused"),
+    "unknown_table": ("SELECT 1 AS x FROM nowhere", "refused"),
+}
+
+
+@query("firewall_shapes", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, (_, v) in _VERDICTS.items()) + ") t(statement, verdict)")
+def firewall_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cache = mapped(spark, sf_dir, ("customer", "region"))
+
+    def verdict(sql: str) -> str:
+        try:
+            guard.assert_select_only(spark, sql)
+            firewall.inspect_query(spark, sql, cache)
+            return "allowed"
+        except (ValueError, LookupError, AnalysisException):
+            return "refused"
+
+    return rows(spark, "statement string, verdict string", [(k, verdict(sql)) for k, (sql, _) in _VERDICTS.items()])
+
+
+@query("relations_of_recursion", "SELECT 'nation' AS relation")
+def relations_of_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation UNION ALL SELECT k - 1 FROM r WHERE k > 0) SELECT k FROM r"
+    return rows(spark, "relation string", [(x,) for x in inspect.relations(inspect.parsed(spark, sql))])
+
+
+_SHARED = ["customer__segment", "metric_time", "order__ordered_at", "order__status"]
+_DEFINED = {"revenue": _SHARED, "average_order": _SHARED, "customer_count": ["customer__segment", "metric_time"], "view_to_purchase": ["event__at", "event__kind", "metric_time"]}
+
+
+@query("semantic_definitions", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{d}')" for m, ds in _DEFINED.items() for d in ds) + ") t(metric, dimension)")
+def semantic_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = layer(spark, sf_dir).list_definitions()["metrics"]
+    return rows(spark, "metric string, dimension string", [(m, d) for m in _DEFINED for d in known[m]["dimensions"]])
+
+
+@query("semantic_screening", "SELECT * FROM (VALUES ('customer__email', 'refused'), ('customer__segment', 'allowed')) t(token, verdict)")
+def semantic_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = layer(spark, sf_dir)
+    base.models["customers"].dimensions.append(semantic.Dimension("email", expr="c_name"))
+    out = []
+    for token in ("customer__email", "customer__segment"):
+        try:
+            base.screen(semantic.SemanticQuery(["revenue"], [token]))
+            out.append((token, "allowed"))
+        except ValueError:
+            out.append((token, "refused"))
+    return rows(spark, "token string, verdict string", out)
+
+
+_EDITS = {
+    "model_select": (edits.Edit("models/a.sql", "model", "select * from {{ ref('b') }}"), "allowed"),
+    "model_ddl": (edits.Edit("models/a.sql", "model", "drop table b"), "refused"),
+    "model_two": (edits.Edit("models/a.sql", "model", "select 1; select 2"), "refused"),
+    "model_suffix": (edits.Edit("models/a.yml", "model", "select 1"), "refused"),
+    "macro_open": (edits.Edit("macros/m.sql", "macro", "{% macro m() %} 1"), "refused"),
+    "macro_closed": (edits.Edit("macros/m.sql", "macro", "{% macro m() %} 1 {% endmacro %}"), "allowed"),
+    "schema_list": (edits.Edit("models/s.yml", "schema", "- a"), "refused"),
+    "schema_map": (edits.Edit("models/s.yml", "schema", "models:\n- name: a\n"), "allowed"),
+    "semantic_lost": (edits.Edit("models/m.yml", "semantic", "metrics:\n- name: x\n  type: simple\n  type_params: {measure: nothing}\n"), "refused"),
+    "kind_unknown": (edits.Edit("a.txt", "note", "x"), "refused"),
+}
+
+
+@query("edit_verdicts", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, (_, v) in _EDITS.items()) + ") t(edit, verdict)")
+def edit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def verdict(e: edits.Edit) -> str:
+        try:
+            edits.validate(spark, e)
+            return "allowed"
+        except (ValueError, AnalysisException):
+            return "refused"
+
+    return rows(spark, "edit string, verdict string", [(k, verdict(e)) for k, (e, _) in _EDITS.items()])
+
+
+@query("jinja_stripped", "SELECT 'select a, 1 from orders join raw_t where 1' AS statement")
+def jinja_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "{{ config(materialized='table') }}{# note #}select a, {{ var('x') }} from {{ ref('orders') }} join {{ source('raw', 'raw_t') }}{% if x %} where {{ y }}{% endif %};"
+    return rows(spark, "statement string", [(" ".join(edits.strip_jinja(text).split()),)])
+
+
+@query("scaffolded_files", "SELECT * FROM (VALUES ('models/staging/sources.yml'), ('models/staging/stg_customer.sql'), ('models/staging/stg_customer.yml'), ('models/staging/stg_orders.sql'), ('models/staging/stg_orders.yml')) t(path)")
+def scaffolded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cache = mapped(spark, sf_dir, ("customer", "orders"))
+    return rows(spark, "path string", [(e.path,) for e in edits.scaffold(cache.datasets, cache.relationships)])
+
+
+@query("redacted_messages", "SELECT * FROM (VALUES ('refused'), ('password=*** and jdbc://me:***@host')) t(said)")
+def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = envelope.failure("query", guard.Refused("password=hunter22 and jdbc://me:secret@host"))
+    return rows(spark, "said string", [(got["reason"],), (got["message"],)])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile of lineitem: counts, exact distincts and safe extremes of each column."""
     src = source(spark, sf_dir, ("lineitem",))

@@ -15,6 +15,7 @@ from ..plans import semantic
 REF = re.compile(r"\{\{\s*ref\(\s*['\"](?:[\w.]+['\"]\s*,\s*['\"])?(\w+)['\"]\s*\)\s*\}\}")
 SOURCE = re.compile(r"\{\{\s*source\(\s*['\"](\w+)['\"]\s*,\s*['\"](\w+)['\"]\s*\)\s*\}\}")
 MATERIALIZED = re.compile(r"materialized\s*=\s*['\"](\w+)['\"]")
+LAYER = re.compile(r"\{\{\s*config\([^}]*\bschema\s*=\s*['\"](\w+)['\"]")
 SKIP = {"target", "dbt_packages", "logs", ".git", "venv", ".venv"}
 
 
@@ -51,6 +52,7 @@ class ModelFile:
     refs: list[str]
     sources: list[tuple[str, str]]
     materialized: str = "view"
+    layer: str | None = None  # its config's schema
 
 
 @dataclass
@@ -173,7 +175,7 @@ def load(root: str | Path) -> TransformProject:
             kind = MATERIALIZED.search(sql)
             if p.stem in out.models:
                 out.warnings.append(f"two models are called {p.stem}")
-            out.models[p.stem] = ModelFile(p.stem, str(p.relative_to(root)), sql, list(dict.fromkeys(REF.findall(sql))), list(dict.fromkeys(SOURCE.findall(sql))), kind[1] if kind else "view")
+            out.models[p.stem] = ModelFile(p.stem, str(p.relative_to(root)), sql, list(dict.fromkeys(REF.findall(sql))), list(dict.fromkeys(SOURCE.findall(sql))), kind[1] if kind else "view", layer[1] if (layer := LAYER.search(sql)) else None)
         for p in sorted([*folder.rglob("*.yml"), *folder.rglob("*.yaml")]) if folder.exists() else []:
             try:
                 doc = read_yaml(p)

@@ -44,19 +44,23 @@ def find_candidate(d: Dataset) -> tuple[Candidate | None, list[str]]:
 
 
 def probe(df: DataFrame, c: Candidate) -> DataFrame:
-    """measure, observations, decreases: one window pass for all measures."""
-    over = Window.partitionBy(quoted(c.entity)).orderBy(quoted(c.temporal))
-    both = df.where(quoted(c.entity).isNotNull() & quoted(c.temporal).isNotNull())
-    cols = []
-    for i, m in enumerate(c.measures):
-        cols += [quoted(m).alias(f"m{i}"), F.lag(quoted(m)).over(over).alias(f"p{i}")]
-    now = both.select(*cols)
-    aggs = []
-    for i in range(len(c.measures)):
-        m, p = F.col(f"m{i}"), F.col(f"p{i}")
-        aggs += [F.count(F.when(m.isNotNull() & p.isNotNull(), 1)).alias(f"o{i}"), F.count(F.when(m < p, 1)).alias(f"d{i}")]
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"o{i}").alias("observations"), F.col(f"d{i}").alias("decreases")) for i, m in enumerate(c.measures)]))
-    return now.agg(*aggs).select(rows.alias("r")).select("r.*")
+    """measure, observations, decreases: one window pass for all measures.
+
+    An entity is cut into days, so that one with very many rows is no single task; the step from the last row of a day to the
+    first of the entity's next day is added from one row for each day."""
+    entity, at = quoted(c.entity), quoted(c.temporal)
+    over = Window.partitionBy("e", "day").orderBy("t")
+    both = df.where(entity.isNotNull() & at.isNotNull()).select(entity.alias("e"), at.alias("t"), at.cast("date").alias("day"), *[quoted(m).alias(f"m{i}") for i, m in enumerate(c.measures)])
+    n = range(len(c.measures))
+    rows = both.select("e", "day", *[f"m{i}" for i in n], *[F.lag(f"m{i}").over(over).alias(f"p{i}") for i in n], F.row_number().over(over).alias("nr"), F.lead(F.lit(1)).over(over).isNull().alias("last"))
+    values = F.struct(*[F.col(f"m{i}") for i in n])
+    step = lambda m, p: (m.isNotNull() & p.isNotNull(), m < p)
+    inner = [F.count(F.when(ok, 1)).alias(f"{k}{i}") for i in n for k, ok in zip("od", step(F.col(f"m{i}"), F.col(f"p{i}")), strict=True)]
+    days = rows.groupBy("e", "day").agg(*inner, F.max(F.when(F.col("nr") == 1, values)).alias("first"), F.max(F.when(F.col("last"), values)).alias("final"))
+    days = days.withColumn("before", F.lag("final").over(Window.partitionBy("e").orderBy("day")))
+    sums = [F.coalesce(F.sum(F.col(f"{k}{i}") + F.when(ok, 1).otherwise(0)), F.lit(0)).cast("long").alias(f"{k}{i}") for i in n for k, ok in zip("od", step(F.col(f"first.m{i}"), F.col(f"before.m{i}")), strict=True)]
+    out = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"o{i}").alias("observations"), F.col(f"d{i}").alias("decreases")) for i, m in enumerate(c.measures)]))
+    return days.agg(*sums).select(out.alias("r")).select("r.*")
 
 
 def notes_of(rows: list[tuple[str, int, int]], c: Candidate) -> list[str]:

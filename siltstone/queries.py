@@ -18,7 +18,7 @@ from .operators import cluster as clusters
 from .operators import cumulative, diagram, drift, pii, profile, rank, relationships
 from .operators.unpivot import unpivot_json_object
 from .plans import attribution, costs, edits, firewall, guard, inspect, runner, semantic
-from .sources.catalog import SparkCatalog, period_gaps, value_counts
+from .sources.catalog import SparkCatalog, period_gaps
 from .sources.store import MemoryStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,7 +294,14 @@ def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "table_name string, grain string", [(d.name, ",".join(d.grain or [])) for d in cache.datasets])
 
 
-@query("rank_objects")
+_DEGREE = {t: sum((t == a) + (t == b) for a, _, b, _ in EDGES) for t in TABLES}
+
+
+@query(
+    "rank_objects",
+    "WITH t AS (" + " UNION ALL ".join(f"SELECT 'main.{t}' AS identifier, ln(1 + (SELECT count(*) FROM {t})) AS n, {d} AS degree" for t, d in _DEGREE.items()) + ")"
+    " SELECT identifier, round(0.35 * n / (SELECT max(n) FROM t) + 0.3 * degree / (SELECT max(degree) FROM t) + 0.2 * 0.5 + 0.15, 4)::DOUBLE AS score FROM t",
+)
 def rank_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = source(spark, sf_dir)
     for i in src.identifiers():

@@ -301,3 +301,32 @@ def test_what_a_statement_lacks(spark, tmp_path):
     got = e.query_batch("SELECT count(*) AS n FROM gap_a; SELECT count(*) AS n FROM gap_b")
     assert [g["result"].cells for g in got] == [[[5]], [[5]]] and e.object_gap("SELECT * FROM gap_b") == []
     e.close()
+
+
+@pytest.mark.parametrize("window", ["2 hours", "1 day", "3 days", "1 month", None])
+@pytest.mark.parametrize("zoned", [False, True])
+def test_conversions_against_plain_loops(spark, window, zoned):
+    """One entity holds most rows; stretches of the window's length lose no conversion at their borders."""
+    import datetime as dt
+    import random
+
+    from siltstone.plans import semantic
+
+    rng = random.Random(4)
+    start = dt.datetime(2024, 3, 1)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), start + dt.timedelta(minutes=30 * rng.randrange(3000)), rng.choice(["view", "buy", "look"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, f"who long, at {'timestamp' if zoned else 'timestamp_ntz'}, kind string")
+    m = semantic.Measure
+    model = semantic.Model("m", "t", [semantic.Entity("who", "foreign", "who"), semantic.Entity("x", "primary", "at")], [semantic.Dimension("at", "time", "at")], [m("views", "sum_boolean", "kind = 'view'"), m("buys", "sum_boolean", "kind = 'buy'")], "at")
+    metric = semantic.Metric("rate", "conversion", base_measure="views", conversion_measure="buys", entity="who", window=window)
+    got = semantic.SemanticLayer([model], [metric], lambda _: df).compile(semantic.SemanticQuery(["rate"])).first().rate
+    length = {"2 hours": dt.timedelta(hours=2), "1 day": dt.timedelta(days=1), "3 days": dt.timedelta(days=3)}.get(window)
+
+    def ends(at):
+        if window == "1 month":
+            return at.replace(month=at.month + 1) if at.day <= 30 or at.month != 3 else at.replace(month=4, day=30)
+        return at + length if length else dt.datetime.max
+
+    views = [(w, at) for w, at, kind in rows if kind == "view"]
+    hit = [any(k == "buy" and u == w and at <= t <= ends(at) for u, t, k in rows) for w, at in views]
+    assert abs(got - sum(hit) / len(hit)) < 1e-12

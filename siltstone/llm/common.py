@@ -59,7 +59,7 @@ class Written:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Arrow batches that long texts cannot blow up: by rows and by bytes.  These bounds of the session are only ever lowered;
     no result depends on them."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):

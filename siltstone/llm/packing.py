@@ -45,7 +45,7 @@ class Params:
     tiers: tuple[int, ...] = (512, 2048, 8192)
     step_tokens: int = 65536
     shard_pieces: int = 100_000
-    shard_tokens: int = 1 << 23  # where token ids travel
+    shard_tokens: int = 1 << 21  # where token ids travel
 
 
 class Space:
@@ -136,24 +136,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
-def spread(rows: DataFrame, p: Params, store: Written, carried: bool) -> tuple[DataFrame, int]:
-    """The pieces of rows (doc_id, key, n[, tokens]) with the shard of each, and the number of shards."""
-    top = max(p.tiers)
-    sums = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top))), F.sum("n")).first()
-    shards = max(1, math.ceil((sums[0] or 0) / p.shard_pieces), math.ceil((sums[1] or 0) / p.shard_tokens) if carried else 0)
+def spread(pieces: DataFrame, p: Params, store: Written, carried: bool) -> DataFrame:
+    """Pieces (doc_id, key, piece, n_tokens[, tokens]) with their shard, dealt to it."""
+    sums = pieces.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    shards = max(1, math.ceil(sums[0] / p.shard_pieces), math.ceil((sums[1] or 0) / p.shard_tokens) if carried else 0)
     place = F.lit(0).cast("long")
     if shards > 1:
-        again = store.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "again")
+        again = store.put(pieces.where("piece = 0").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "again")
         n = again.count()
         if n:
             side = F.broadcast(again) if n <= 1_000_000 else again  # 8 bytes a key
-            rows = rows.join(side.withColumn("twice", F.lit(True)), "key", "left")
+            pieces = pieces.join(side.withColumn("twice", F.lit(True)), "key", "left")
             place = F.when(F.col("twice"), F.monotonically_increasing_id()).otherwise(place)
-    rows = rows.withColumn("place", place)
-    cut = [F.expr(f"slice(tokens, cast(piece * {top} + 1 as int), {top})").alias("tokens")] if carried else []
-    pieces = rows.where("n > 0").select("doc_id", "key", "place", *(["tokens"] if carried else []), F.posexplode(F.expr(f"transform(sequence(0L, (n - 1) div {top}), i -> cast(least({top}L, n - i * {top}L) as int))")).alias("piece", "n_tokens"))
     at = F.pmod(F.xxhash64("doc_id", "key", "piece", "place"), F.lit(shards)).cast("int")
-    return pieces.select("doc_id", "key", "piece", "n_tokens", *cut, at.alias("shard")).repartitionById(shards, F.col("shard")), shards
+    dealt = pieces.withColumn("place", place).select("doc_id", "key", "piece", "n_tokens", *(["tokens"] if carried else []), at.alias("shard"))
+    return dealt.repartitionById(shards, F.col("shard"))
 
 
 def shard_of(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, int, list[int], list[int]] | None:
@@ -177,8 +174,9 @@ def packed(docs: DataFrame, p: Params | None = None, length: Column | None = Non
     """doc_id, piece, n_tokens, tier (its size), window_id, offset, step_group: one row for each piece."""
     p = p or Params()
     store = Written(docs.sparkSession)
-    lens = lengths_of(docs, length, tokenizer, store)
-    pieces, _ = spread(lens, p, store, False)
+    lens, top = lengths_of(docs, length, tokenizer, store), max(p.tiers)
+    cut = F.expr(f"transform(sequence(0L, (n - 1) div {top}), i -> cast(least({top}L, n - i * {top}L) as int))")
+    pieces = spread(lens.where("n > 0").select("doc_id", "key", F.posexplode(cut).alias("piece", "n_tokens")), p, store, False)
     fields = [("doc_id", lens.schema["doc_id"].dataType), *PLACED]
     tiers = sorted(p.tiers)
 
@@ -208,17 +206,33 @@ def packed(docs: DataFrame, p: Params | None = None, length: Column | None = Non
     return done.unionByName(empty)
 
 
-def token_column(docs: DataFrame, tokenizer: tokencount.Params | None = None) -> Column:
-    """The token ids of ``text``; null for a null text."""
+def token_pieces(docs: DataFrame, top: int, tokenizer: tokencount.Params | None = None) -> Column:
+    """The token ids of ``text`` in pieces of up to ``top``, each as little-endian 16-bit numbers, 32-bit ones if the vocabulary has more
+    than those hold; one empty piece where there are none."""
     t = tokenizer or tokencount.Params()
     shared = docs.sparkSession.sparkContext.broadcast(tokencount.vocabulary(t))
+    kind = width(t)
+
+    def cut(text: str | None, encode) -> list[bytes]:
+        ids = np.array(encode(text) if text else [], kind)
+        return [ids[i : i + top].tobytes() for i in range(0, max(1, len(ids)), top)]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = tokencount.encoder(t, shared.value).encode_ordinary
+        encode = tokencount.new_encoder(t, shared.value).encode_ordinary  # not kept: later stages need the memory
         for texts in batches:
-            yield pa.array([None if x is None else encode(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([cut(x, encode) for x in texts.to_pylist()], pa.list_(pa.binary()))
+
+    return F.arrow_udf(run, "array<binary>")(col("text"))
+
+
+def width(t: tokencount.Params) -> str:
+    """The type of number that holds every token id."""
+    return "<u2" if len(tokencount.vocabulary(t).splitlines()) <= 1 << 16 else "<i4"
+
 
-    return F.arrow_udf(run, "array<int>")(col("text"))
+def numbers(cells: pa.ChunkedArray, kind: str) -> pa.Array:
+    """All numbers that binary cells hold, one behind the other."""
+    return pa.array(np.frombuffer(b"".join(x for c in cells.chunks for x in c.to_pylist()), kind).astype(np.int32))
 
 
 def token_windows(docs: DataFrame, p: Params | None = None, tokenizer: tokencount.Params | None = None) -> DataFrame:
@@ -230,9 +244,10 @@ def token_windows(docs: DataFrame, p: Params | None = None, tokenizer: tokencoun
     spark = docs.sparkSession
     small_batches(spark)
     store = Written(spark)
-    tokens = docs.select(col("doc_id").alias("doc_id"), row_key(docs).alias("key"), token_column(docs, tokenizer).alias("tokens"))
-    rows = store.put(tokens.select("doc_id", "key", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n"), "tokens").withColumn("n", F.greatest("n", F.lit(0).cast("long"))), "tokens")
-    pieces, _ = spread(rows, p, store, True)
+    stored = width(tokenizer or tokencount.Params())
+    tokens = docs.select(col("doc_id").alias("doc_id"), row_key(docs).alias("key"), F.posexplode(token_pieces(docs, max(p.tiers), tokenizer)).alias("piece", "tokens"))
+    rows = store.put(tokens.select("doc_id", "key", "piece", F.expr(f"cast(octet_length(tokens) div {np.dtype(stored).itemsize} as int)").alias("n_tokens"), "tokens"), "tokens")
+    pieces = spread(rows.where("n_tokens > 0"), p, store, True)
     kind = rows.schema["doc_id"].dataType
     ints = T.ArrayType(T.IntegerType())
     fields = [("window_id", T.StringType()), ("tier", T.IntegerType()), ("step_group", T.StringType()), ("n_tokens", T.IntegerType()), ("doc_ids", T.ArrayType(kind)), ("pieces", ints), ("lengths", ints), ("token_ids", ints)]
@@ -247,15 +262,15 @@ def token_windows(docs: DataFrame, p: Params | None = None, tokenizer: tokencoun
         inside: list[list[int]] = [[] for _ in tier]
         for i, w in enumerate(window):
             inside[w].append(i)
-        for at in range(0, len(tier), 256):
-            some = range(at, min(at + 256, len(tier)))
+        for at in range(0, len(tier), 64):
+            some = range(at, min(at + 64, len(tier)))
             rows = [order[i] for w in some for i in sorted(inside[w], key=offset.__getitem__)]
             ends = np.cumsum([0, *(len(inside[w]) for w in some)]).astype(np.int32)
-            part = t.take(rows).combine_chunks()
-            ids, flat = part["doc_id"].combine_chunks(), part["tokens"].combine_chunks()
+            part = t.take(rows)
+            ids, flat = part["doc_id"].combine_chunks(), numbers(part["tokens"], stored)
             sizes = np.array([n[i] for i in rows], np.int64)
             long = np.r_[0, np.cumsum(sizes)][ends].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, ids), (ends, part["piece"].combine_chunks()), (ends, part["n_tokens"].combine_chunks()), (long, flat.flatten()))]
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, ids), (ends, part["piece"].combine_chunks()), (ends, part["n_tokens"].combine_chunks()), (long, flat))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{shard}-{w}" for w in some], pa.string()),
@@ -268,5 +283,5 @@ def token_windows(docs: DataFrame, p: Params | None = None, tokenizer: tokencoun
             )
 
     done = pieces.mapInArrow(run, struct(*fields))
-    alone = rows.where("n = 0").select(*[F.lit(None).cast(k).alias(c) for c, k in fields[:3]], F.lit(0).alias("n_tokens"), F.array("doc_id").alias("doc_ids"), *[F.array(F.lit(x)).cast(ints).alias(c) for c, x in (("pieces", 0), ("lengths", 0))], F.array().cast(ints).alias("token_ids"))
+    alone = rows.where("n_tokens = 0").select(*[F.lit(None).cast(k).alias(c) for c, k in fields[:3]], F.lit(0).alias("n_tokens"), F.array("doc_id").alias("doc_ids"), *[F.array(F.lit(x)).cast(ints).alias(c) for c, x in (("pieces", 0), ("lengths", 0))], F.array().cast(ints).alias("token_ids"))
     return done.unionByName(alone)

@@ -245,13 +245,17 @@ def disclosing(docs: DataFrame, p: Params) -> DataFrame:
     kind = pa.schema([("cls", pa.string()), ("entity", pa.int64()), ("term", pa.string()), ("whole", pa.int64()), ("mark", pa.int64())])
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
         for b in batches:
-            rows = []
-            for text in b["text"].to_pylist():
-                seen, whole, mark = sightings(text, window)
+            for text in b["text"]:
+                seen, whole, mark = sightings(text.as_py(), window)
                 rows += [(None, e, t, whole, mark) for _, e, t in seen]
                 rows += [(c, 0, t, whole, mark) for c, t in {(c, t) for c, _, t in seen}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
+                if len(rows) > 20_000:
+                    yield packed()
+                    rows.clear()
+        yield packed()
 
     seen = texts.mapInArrow(observe, "cls string, entity long, term string, whole long, mark long").groupBy("cls", "entity", "term", "mark").agg(F.count_distinct("whole").alias("n"))
     seen = store.put(seen.groupBy("cls", "entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("marks")), "seen")

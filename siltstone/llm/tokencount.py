@@ -64,13 +64,17 @@ def encoder(p: Params, data: bytes | None = None):
     home = worker_cache("tokenizers")
     key = (p.vocabulary, p.pattern)
     if key not in home:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (data or vocabulary(p)).splitlines())}
-        home[key] = tiktoken.Encoding("vocabulary", pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
+        home[key] = new_encoder(p, data)
     return home[key]
 
 
+def new_encoder(p: Params, data: bytes | None = None):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (data or vocabulary(p)).splitlines())}
+    return tiktoken.Encoding("vocabulary", pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def splitter(p: Params):
     import regex
 

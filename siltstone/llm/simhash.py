@@ -2,19 +2,17 @@
 
 Fingerprint: 128 bits, the sign of the sum of the +-1 hash vectors of a text's distinct words.
 Embedding: the fingerprint's 64 segments of two bits map to their bit counts (0, 1, 2).  The
-Manhattan distance of two count vectors is a lower bound of the Hamming distance, and so is that
-of the 8 coarse counts of 16 bits.
-Grid range-join: a radius of 20 in 64 dimensions has far too many neighbouring cells to list, so equal cells over subsets
-of the coordinates stand for the join of neighbours: a pair at distance 20 agrees in about 46 of the 64 counts, so that it
-shares a cell of few coordinates with a known chance.  There are two levels.  Outer grids over j0 coordinates, with unit
-cells, deal the rows to tasks; only they are shuffled, and j0 grows so that a cell keeps about ``cell_rows`` rows.  Within
-an outer cell, inner grids over j1 other coordinates are laid in memory, so many that a pair at the ``design`` distance is met
-by the chance ``recall`` (``design`` is the radius, for every n; the chance at a smaller distance is higher: 0.98 at 18, over
-0.999 at 12, for a million rows).  Rows that share an inner cell are candidates.  Those beyond ``radius`` in Manhattan
-distance go, the rest is verified by the exact Hamming distance.  No cell, partner list or group is capped: an inner
-cell of many rows is searched breadth first, which yields a spanning forest of its near pairs, so that a group of m copies
-costs m - 1 edges, and an outer cell of over ``block_rows`` rows is cut into blocks, of which each pair is a task.
-Groups are connected components.
+Manhattan distance of two count vectors is a lower bound of the Hamming distance.
+Grid range-join: the 128 bits are cut into a few pieces of about 18 bits, and each piece is a grid whose cells are its
+values.  Every piece has a reach; the reaches sum to radius - pieces + 1, so that two fingerprints within the radius are
+within the reach of some piece (else they would differ in radius + 1 bits at least).  Each cell is joined with all
+cells within its reach, and what meets there is verified by the exact distance: no pair within the radius is left out.
+Fingerprints lie in blocks by hash, and each pair of blocks is a task; a block travels as one packed row, written once.
+Within a pair of blocks a union of what is found is kept, and the links to its roots are all that leaves the task: a group
+of m texts costs m - 1 links.  Cells of many rows are searched breadth first (``match``) before neighbouring cells are
+joined, and of a large neighbouring cell the rows already in the same group are passed over.  No cell, partner list or
+group is capped.  Work grows with the square of the distinct fingerprints: of a pair of blocks about 0.8 % of all pairs
+are verified.  Groups are connected components.
 
 Edge cases: null and blank texts have no fingerprint and belong to no group.  A text without
 words (only signs) is compared whole.  Equal texts have equal fingerprints: repeated rows and
@@ -26,6 +24,7 @@ its working columns take names that the input lacks.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -41,17 +40,15 @@ from .common import Written, col, free_name, row_key, small_batches, worker_cach
 
 WORDS = re.compile(r"\w+")
 SEGMENTS = 64
-EQUAL = 0.40  # chance that a two-bit count of two unrelated texts agrees, measured
+DEAR = 5  # verifying a pair, with the skew of the cells, against the look-up of a cell; measured
 
 
 @dataclass
 class Params:
     radius: int = 20  # of 128 bits
-    design: int = 20  # the radius: the distance at which ``recall`` is met by the grids alone
-    recall: float = 0.95
-    mates: float = 4.0  # unrelated rows an inner cell may hold on average
-    cell_rows: int = 1 << 17  # rows of an outer cell, on average
-    block_rows: int = 1 << 20  # rows that a task holds at most
+    block_rows: int = 1 << 20  # rows of a block at most, on average
+    task_rows: int = 1 << 16  # tables of fewer than ``spread`` blocks are cut into smaller ones, down to this
+    spread: int = 8
     one_task_edges: int = 1_000_000  # up to so many edges one task joins the groups, beyond it star joins do
 
 
@@ -104,53 +101,36 @@ def fingerprint_column(docs: DataFrame):
     return F.arrow_udf(run, "hi long, lo long")(col("text"))
 
 
-def meetings(distance: int) -> list[tuple[float, int]]:
-    """(chance, segments with equal counts) of a pair at this distance: q segments have both bits flipped, of which
-    each keeps its count by a chance of a half, and distance - 2 q have one."""
-    out = []
-    for q in range(max(0, distance - SEGMENTS), distance // 2 + 1):
-        ways = math.comb(SEGMENTS, q) * math.comb(SEGMENTS - q, distance - 2 * q) * 2 ** (distance - 2 * q) / math.comb(2 * SEGMENTS, distance)
-        out += [(ways * math.comb(q, e) / 2**q, SEGMENTS - distance + q + e) for e in range(q + 1)]
-    return out
-
-
-def shares(equal: int, of: int, drawn: int) -> float:
-    """The chance that all coordinates drawn are among the equal ones."""
-    return math.comb(equal, drawn) / math.comb(of, drawn) if equal >= drawn else 0.0
+def reaches(radius: int, pieces: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, reach) of each piece; a reach of -1: the piece isn't needed."""
+    ends = [128 * i // pieces for i in range(pieces + 1)]
+    spare = radius - pieces + 1
+    return [(at, end - at, spare // pieces + (i < spare % pieces)) for i, (at, end) in enumerate(itertools.pairwise(ends))]
 
 
-def grid_recall(outer: tuple[int, int], inner: tuple[int, int] | None, distance: int) -> float:
-    """Share of the pairs at this distance that share an outer cell and, if given, an inner one there."""
-    (j0, t0), out = outer, 0.0
-    for chance, equal in meetings(distance):
-        once = shares(equal, SEGMENTS, j0)
-        if inner:
-            once *= 1 - (1 - shares(equal - j0, SEGMENTS - j0, inner[0])) ** inner[1]
-        out += chance * (1 - (1 - once) ** t0)
-    return out
+def cells_in_reach(bits: int, reach: int) -> int:
+    return sum(math.comb(bits, k) for k in range(reach + 1))
 
 
-def least(enough) -> int:
-    """The smallest number from 1 on that is enough."""
-    lo, hi = 1, 1
-    while not enough(hi):
-        lo, hi = hi + 1, 2 * hi
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if enough(mid) else (mid + 1, hi)
-    return lo
+def pieces_for(rows: int, radius: int) -> list[tuple[int, int, int]]:
+    """The cheapest cut for a block of so many rows: few long pieces have many cells in reach, many short ones many rows in a cell."""
 
+    def cost(cut: list[tuple[int, int, int]]) -> float:
+        return sum(cells_in_reach(bits, reach) * (1 / max(1, rows) + DEAR / 2**bits) for _, bits, reach in cut)
 
-def outer_grids(n: int, p: Params) -> tuple[int, int]:
-    """(coordinates in an outer grid, outer grids) for n fingerprints."""
-    j = min(SEGMENTS // 2, max(3, math.ceil(math.log(max(n, 2) / p.cell_rows) / -math.log(EQUAL))))
-    return j, least(lambda t: grid_recall((j, t), None, p.design) >= 1 - 0.4 * (1 - p.recall))
+    return min((reaches(radius, pieces) for pieces in range(6, 17)), key=cost)  # from 6 on: a grid of 2^22 cells fits memory
 
 
-def inner_grids(rows: int, outer: tuple[int, int], p: Params) -> tuple[int, int]:
-    """(coordinates in an inner grid, inner grids) for an outer cell of so many rows."""
-    j = min(SEGMENTS - outer[0], max(2, math.ceil(math.log(max(rows, 2) / p.mates) / -math.log(EQUAL))))
-    return j, least(lambda t: grid_recall(outer, (j, t), p.design) >= p.recall)
+def cells_of(fp: np.ndarray, at: int, bits: int) -> np.ndarray:
+    """The value of a piece of each fingerprint; fp: n x 2 of int64."""
+    hi, lo = fp.view(np.uint64).T
+    if at >= 64:
+        raw = hi >> np.uint64(at - 64)
+    elif at + bits <= 64:
+        raw = lo >> np.uint64(at)
+    else:
+        raw = (lo >> np.uint64(at)) | (hi << np.uint64(64 - at))
+    return (raw & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def counts_of(fp: np.ndarray) -> np.ndarray:
@@ -203,91 +183,96 @@ def match(cell: np.ndarray, fp: np.ndarray, coarse: np.ndarray, radius: int, dir
     return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
 
 
-def near_pairs(fp: np.ndarray, outer: tuple[int, int], used: np.ndarray, p: Params) -> np.ndarray:
-    """k x 4: near pairs of an outer cell (fp: n x 2) by its inner grids; ``used``: the outer grid's coordinates."""
-    j, tables = inner_grids(len(fp), outer, p)
-    counts = counts_of(fp)
-    rest = np.setdiff1d(np.arange(SEGMENTS), used)
-    kind = np.float32 if j <= 15 else np.float64  # whole numbers below 3^15 are exact in 32 bits, below 3^33 in 64
-    weights = np.zeros((SEGMENTS, tables))
-    rng = np.random.default_rng([21, *used.tolist()])
-    for t in range(tables):
-        weights[rng.choice(rest, j, replace=False), t] = 3.0 ** np.arange(j) if j <= 33 else rng.integers(1, 1 << 45, j)
-    weights, counts = weights.astype(kind), counts.astype(kind)
-    coarse = np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16)).reshape(len(fp), 8).astype(np.int8)
-    pair, new, held = np.zeros(0, np.int64), [], 0
-    step = max(1, (4 << 20) // max(1, len(fp)))
-    for at in range(0, tables, step):
-        cells = counts @ weights[:, at : at + step]
-        for t in range(cells.shape[1]):
-            a, b = match(cells[:, t], fp, coarse, p.radius)
-            new.append(np.minimum(a, b) * len(fp) + np.maximum(a, b))
-            held += len(a)
-            if held > len(pair) + (1 << 18):  # before what is held twice outgrows the rest
-                pair, new, held = np.unique(np.concatenate([pair, *new])), [], 0
-    pair = np.unique(np.concatenate([pair, *new]))
-    return np.concatenate([fp[pair // max(1, len(fp))], fp[pair % max(1, len(fp))]], 1)
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of rows a and b; label: each row's root, the smallest row of its group."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while len(a) and not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def linked(fp: np.ndarray, block: int, radius: int, hot: int = 48) -> np.ndarray:
+    """Each row's root after all near pairs of the first ``block`` rows with the others are joined, or with one another
+    if there are no others; fp: n x 2, without repeats."""
+    n, own = len(fp), block == len(fp)
+    label, counts, cut = np.arange(n), counts_of(fp).astype(np.int8), pieces_for(max(block, n - block), radius)
+    for at, bits, reach in cut:
+        if reach >= 0:
+            unite(label, *match(cells_of(fp, at, bits), fp, counts, radius))
+    for at, bits, reach in cut:
+        cell, root = cells_of(fp, at, bits), label.copy()
+        asked = np.arange(block)[np.lexsort((root[:block], cell[:block]))]
+        held = asked if own else np.arange(block, n)[np.lexsort((root[block:], cell[block:]))]
+        asking, place = cell[asked], cell[held] * n + root[held]
+        size = np.bincount(cell[held], minlength=1 << bits)
+        first = np.r_[0, np.cumsum(size)]
+        full = size > 0
+        (a_hi, a_lo), (b_hi, b_lo) = (np.ascontiguousarray(fp[rows].view(np.uint64).T) for rows in (asked, held))
+        for flips in itertools.chain.from_iterable(itertools.combinations(range(bits), k) for k in range(1, reach + 1)):
+            to = asking ^ sum(1 << f for f in flips)
+            row = np.flatnonzero(full[to] & (to > asking) if own else full[to])
+            start, end = first[to[row]], first[to[row] + 1]
+            large = np.flatnonzero(end - start > hot)
+            if len(large):  # rows of one cell and root lie together: they are left out where the row that asks has this root
+                same = to[row[large]] * n + root[asked[row[large]]]
+                after = np.searchsorted(place, same, "right")
+                row, start, end = np.r_[row, row[large]], np.r_[start, after], np.r_[end, end[large]]
+                end[large] = np.searchsorted(place, same, "left")
+            sizes = end - start
+            total = np.cumsum(sizes)
+            i = 0
+            while i < len(row):
+                j = max(i + 1, int(np.searchsorted(total, total[i] - sizes[i] + (1 << 20), "right")))
+                m = sizes[i:j]
+                a = np.repeat(row[i:j], m)
+                b = np.arange(len(a)) + np.repeat(start[i:j] - (np.cumsum(m) - m), m)
+                d = np.bitwise_count(a_lo[a] ^ b_lo[b])
+                half = np.flatnonzero(d <= radius)
+                a, b = a[half], b[half]
+                hit = d[half] + np.bitwise_count(a_hi[a] ^ b_hi[b]) <= radius
+                if hit.any():
+                    unite(label, asked[a[hit]], held[b[hit]])
+                i = j
+    return label
 
 
 def near_edges(prints: DataFrame, n: int, p: Params, store: Written) -> DataFrame:
-    """Edges between distinct fingerprints (hi, lo) within the radius: a.hi, a.lo, b.hi, b.lo."""
-    outer = outer_grids(n, p)
-    j, tables = outer
-    spark = prints.sparkSession
-    rng = np.random.default_rng(20)
-    picks = np.stack([np.sort(rng.choice(SEGMENTS, j, replace=False)) for _ in range(tables)])
-    base = 3 ** np.arange(j, dtype=np.int64)  # j <= 32: 3^32 * tables fits 64 bits for any number of tables that does
-    radix = 3**j
-
-    def cells_of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        counts = counts_of(np.stack([b["hi"].to_numpy(), b["lo"].to_numpy()], 1)).astype(np.int64)
-        for t in range(tables):
-            yield (counts[:, picks[t]] * base).sum(1) + t * radix
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, m = np.unique(np.concatenate(list(cells_of(b))), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "m": pa.array(m.astype(np.int64))})
+    """a.hi, a.lo, b.hi, b.lo: edges between distinct fingerprints (hi, lo) that connect what pairs within the radius connect."""
+    blocks = max(1, math.ceil(n / p.block_rows), min(p.spread, math.ceil(n / p.task_rows)))
+    width = min(blocks, 512)
 
-    out = pa.schema([("cell", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell in cells_of(b):
-                yield pa.RecordBatch.from_arrays([pa.array(cell), b["hi"], b["lo"]], schema=out)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        block, hi, lo = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("block", "hi", "lo"))
+        order = np.lexsort((lo, hi, block))
+        block, fp = block[order], np.stack([hi, lo], 1)[order]
+        for k in np.unique(block).tolist():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "fp": pa.array([fp[block == k].tobytes()], pa.binary())})
 
     kind = pa.schema([(c, pa.int64()) for c in ("a_hi", "a_lo", "b_hi", "b_lo")])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        cell, hi, lo, x, y = (np.concatenate([b[c].to_numpy() for b in got]) for c in ("cell", "hi", "lo", "x", "y"))
-        order = np.lexsort((lo, hi, y, x, cell))
-        cell, x, y, fp = cell[order], x[order], y[order], np.stack([hi, lo], 1)[order]
-        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        for start, end in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
-            if end - start > 1:
-                both = near_pairs(np.ascontiguousarray(fp[start:end]), outer, picks[cell[start] // radix], p)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                one = np.frombuffer(r["fp"], np.int64).reshape(-1, 2)
+                own = r["block"] == r["with"]
+                fp = one if own else np.concatenate([one, np.frombuffer(r["fp_with"], np.int64).reshape(-1, 2)])
+                label = linked(fp, len(one), p.radius)
+                rows = np.flatnonzero(label != np.arange(len(fp)))
+                both = np.concatenate([fp[label[rows]], fp[rows]], 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(4)], schema=kind)
 
-    own = prints.select("hi", "lo")
-    # a partition is held at once, so partitions are cut by bytes
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables * 40 / (48 << 20)))
-    hot = own.mapInArrow(sizes, "cell long, m long").groupBy("cell").agg(F.sum("m").alias("m")).where(F.col("m") > p.block_rows)
-    hot = store.put(hot.select("cell", F.ceil(F.col("m") * 2 / p.block_rows).cast("int").alias("blocks")), "hot")
-    n_hot = hot.count()
-    cells = own.repartition(parts).mapInArrow(spread, "cell long, hi long, lo long")
-    if n_hot:
-        cells = cells.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "cell", "left")
-        block = F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int")
-        others = F.when(F.col("blocks").isNotNull(), F.expr("sequence(0, blocks - 1)")).otherwise(F.array(F.lit(0)))
-        cells = cells.select("cell", "hi", "lo", F.coalesce(block, F.lit(0)).alias("block"), F.explode(others).alias("other"))
-        cells = cells.select("cell", "hi", "lo", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    else:
-        cells = cells.withColumns({"x": F.lit(0), "y": F.lit(0)})
-    found = cells.repartition(parts, "cell", "x", "y").mapInArrow(pairs, "a_hi long, a_lo long, b_hi long, b_lo long")
-    return found.distinct()
+    spread = prints.select("hi", "lo", F.pmod(F.xxhash64("hi", "lo"), F.lit(blocks)).cast("int").alias("block"))
+    packed = store.put(spread.repartitionById(width, F.col("block") % width).mapInArrow(pack, "block int, fp binary"), "blocks")
+    # a product of partitions reads blocks where they lie: one copy of either side is written, however many blocks there are
+    other = packed.select(F.col("block").alias("with"), F.col("fp").alias("fp_with")).repartitionById(width, F.col("with") % width)
+    pairs = packed.repartitionById(width, F.col("block") % width).hint("shuffle_replicate_nl").join(other, F.col("block") <= F.col("with"))
+    return pairs.select("block", "fp", "with", "fp_with").mapInArrow(join, "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
 
 
 def components(edges: DataFrame, store: Written, p: Params) -> DataFrame:

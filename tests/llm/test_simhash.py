@@ -151,34 +151,56 @@ def test_empty_table(no_docs):
     assert simhash.keep_one(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("n", [1000, 51_282, 3_000_000, 100_000_000])
-@pytest.mark.parametrize("distance", [18, 19, 20])
-def test_grids_meet_pairs_of_the_outer_band(n, distance):
-    """Pairs at one exact distance, in grids as many and as fine as n fingerprints get."""
-    p = simhash.Params()
-    outer = simhash.outer_grids(n, p)
-    inner = simhash.inner_grids(max(2, int(n * simhash.EQUAL ** outer[0])), outer, p)
-    rng = np.random.default_rng(distance)
-    a = rng.integers(0, 256, (1500, 16), np.uint8)
-    flips = np.zeros((1500, 128), np.uint8)
-    np.put_along_axis(flips, rng.random((1500, 128)).argsort(1)[:, :distance], 1, 1)
-    b = a ^ np.packbits(flips, axis=1)
-    same = simhash.counts_of(a.view(np.int64)) == simhash.counts_of(b.view(np.int64))
-    met = np.zeros(1500, bool)
-    for _ in range(outer[1]):
-        used = rng.choice(simhash.SEGMENTS, outer[0], replace=False)
-        rest = np.setdiff1d(np.arange(simhash.SEGMENTS), used)
-        live = np.flatnonzero(same[:, used].all(1) & ~met)
-        for _ in range(inner[1]):
-            met[live] |= same[live][:, rng.choice(rest, inner[0], replace=False)].all(1)
-    assert met.mean() >= 0.9
-
-
-def test_recall_by_distance_is_what_the_docstring_says():
-    p = simhash.Params()
-    outer = simhash.outer_grids(1_000_000, p)
-    inner = simhash.inner_grids(64_000, outer, p)
-    assert [simhash.grid_recall(outer, inner, d) >= least for d, least in ((20, 0.95), (18, 0.98), (12, 0.999))] == [True] * 3
+def pairs_at(rng, n, distance):
+    """n unrelated fingerprints, and one at exactly this distance of each."""
+    a = rng.integers(0, 256, (n, 16), np.uint8)
+    flips = np.zeros((n, 128), np.uint8)
+    np.put_along_axis(flips, rng.random((n, 128)).argsort(1)[:, :distance], 1, 1)
+    return a.view(np.int64), (a ^ np.packbits(flips, axis=1)).view(np.int64)
+
+
+@pytest.mark.parametrize("block_rows", [1 << 20, 1500])
+def test_no_pair_within_the_radius_is_left_out(spark, block_rows):
+    """Pairs at the radius itself and just below all share a group, those one bit beyond it do not."""
+    from siltstone.llm.common import Written
+
+    rng, p, store = np.random.default_rng(8), simhash.Params(block_rows=block_rows), Written(spark)
+    sides = {d: pairs_at(rng, 1000, d) for d in (18, 20, 21)}
+    rows = np.concatenate([x for both in sides.values() for x in both]).tolist()
+    prints = store.put(spark.createDataFrame([tuple(x) for x in rows], "hi long, lo long"), "prints")
+    roots = simhash.components(store.put(simhash.near_edges(prints, len(rows), p, store), "edges"), store, p).collect()
+    root = {(r.hi, r.lo): (r.root_hi, r.root_lo) for r in roots}
+    together = {d: sum(tuple(x) in root and root[tuple(x)] == root.get(tuple(y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)) for d, (a, b) in sides.items()}
+    assert together == {18: 1000, 20: 1000, 21: 0}
+
+
+@pytest.mark.parametrize("radius", [0, 3, 9, 20, 27])
+@pytest.mark.parametrize("pieces", [6, 7, 11, 16])
+def test_reaches_leave_no_distance_out(radius, pieces):
+    """To miss every piece takes more than radius differing bits; the pieces tile the fingerprint."""
+    cut = simhash.reaches(radius, pieces)
+    assert sum(reach + 1 for _, _, reach in cut) == radius + 1
+    assert [at for at, _, _ in cut] == np.cumsum([0] + [bits for _, bits, _ in cut])[:-1].tolist() and sum(bits for _, bits, _ in cut) == 128
+
+
+@pytest.mark.parametrize("block", [900, 350])
+def test_linked_against_all_pairs(block):
+    """Groups of many near copies (cells that are hot, with strangers in them) and chains."""
+    rng = np.random.default_rng(block)
+    centre = rng.integers(-(1 << 62), 1 << 62, (6, 2))[rng.choice(6, 900, p=[0.6, 0.2, 0.1, 0.05, 0.03, 0.02])]
+    rate = rng.choice([0.01, 0.06, 0.12, 0.5], 900)
+    fp = centre ^ np.packbits((rng.random((900, 128)) < rate[:, None]).reshape(900, 2, 64), axis=2).view(np.int64).reshape(900, 2)
+    fp = np.unique(fp, axis=0)[rng.permutation(len(np.unique(fp, axis=0)))]
+    block = len(fp) if block == 900 else block
+    near = np.bitwise_count((fp[:, None] ^ fp[None]).view(np.uint64)).sum(2) <= 20
+    one = simhash.linked(fp, block, 20)
+    i, j = np.nonzero(near)
+    asked = (i < block) & ((j >= block) | (block == len(fp)))
+    assert (one[i[asked]] == one[j[asked]]).all()
+    both = np.arange(len(fp))
+    simhash.unite(both, i, j)
+    assert (both[one] == both).all()  # nothing is joined that isn't connected
+    assert block < len(fp) or (one == both).all()
 
 
 def test_hot_cells_are_cut_into_blocks(spark):

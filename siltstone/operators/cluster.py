@@ -1,11 +1,13 @@
-"""k-means over a bounded sample of numeric features, with the number of clusters chosen by silhouette.
+"""k-means over all rows of numeric features, with the number of clusters chosen by the silhouette of all rows.
 
-The sample (``sample_rows`` rows of ``max_features`` numbers at most, 3 MB) is broadcast; each number of clusters
-with each restart is a task of its own, and so is the silhouette of each number."""
+The table is read in passes, and a task returns sums only.  Up to ``candidates`` points, drawn by k-means||, are weighted with
+the rows nearest to them, and each number of clusters with each restart is fitted on these: that is where it starts from.
+Lloyd's rounds then go over all rows, all fits in one pass, until the centres stand still.  The silhouette is that of squared
+distances, which sums make exact in one pass; with plain distances it would take all pairs of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,10 +20,14 @@ from ..functions.stats import quoted
 from ..model import Dataset, Relationship
 from . import naming
 
+ROUNDS, STILL = 300, 1e-9  # of Lloyd; what all centres of a fit may move, squared, once they stand still
+SETTLED = 1e-4  # the same for passes over a table: scikit-learn's default, with which the reference fits
+BLOCK = 2048  # rows whose distances to all centres of all fits lie in memory at once
+
 
 @dataclass
 class Limits:
-    sample_rows: int = 20000
+    candidates: int = 1024
     min_rows: int = 50
     k_min: int = 2
     k_max: int = 8
@@ -67,13 +73,6 @@ def features_of(d: Dataset, edges: list[Relationship], wanted: list[str] | None
     return chosen
 
 
-def sample(df: DataFrame, features: list[str], limits: Limits) -> tuple[DataFrame, bool]:
-    """At most sample_rows rows, the same ones each time: those of smallest row hash (a top-k, not a full sort)."""
-    cols = [quoted(f).cast("double").alias(f) for f in features]
-    few = df.select(*cols, F.xxhash64(*[quoted(c) for c in df.columns if not types.is_nested(df.schema[c].dataType)]).alias("h::"))
-    return few.orderBy("h::", *[F.col(f"`{f}`") for f in features]).limit(limits.sample_rows).drop("h::"), True
-
-
 def null_counts(df: DataFrame, features: list[str]) -> DataFrame:
     """sampled, dropped (any feature null), and nulls of each feature, over the same rows."""
     any_null = F.lit(False)
@@ -88,31 +87,32 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
 
 
-def k_means(x: np.ndarray, k: int, seed: list[int], rounds: int = 300) -> tuple[float, np.ndarray]:
+def k_means(x: np.ndarray, k: int, seed: list[int], rounds: int = ROUNDS, weights: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Inertia and centres from a k-means++ start.  A centre that loses all its points moves to the one farthest from its own."""
     rng = np.random.default_rng(seed)
-    centres = x[rng.integers(len(x))][None]
+    w = np.ones(len(x)) if weights is None else weights
+    centres = x[rng.choice(len(x), p=w / w.sum())][None]
     while len(centres) < k:
-        d = distances(x, centres).min(1)
+        d = distances(x, centres).min(1) * w
         total = d.sum()
         centres = np.vstack([centres, x[rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))]])
     for _ in range(rounds):
         d = distances(x, centres)
         own = d.argmin(1)
-        sizes = np.bincount(own, minlength=k)
-        new = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1) / np.maximum(sizes, 1)[:, None]
+        sizes = np.bincount(own, w, k)
+        new = np.stack([np.bincount(own, x[:, j] * w, k) for j in range(x.shape[1])], 1) / np.where(sizes > 0, sizes, 1)[:, None]
         for lost in np.flatnonzero(sizes == 0):
             far = int(d[np.arange(len(x)), own].argmax())
             new[lost], d[far] = x[far], 0
         moved = float(((new - centres) ** 2).sum())
         centres = new
-        if moved <= 1e-9:
+        if moved <= STILL:
             break
-    return float(distances(x, centres).min(1).sum()), centres
+    return float((distances(x, centres).min(1) * w).sum()), centres
 
 
 def silhouette(x: np.ndarray, own: np.ndarray) -> float:
-    """Mean of (b - a) / max(a, b): a the mean distance to the row's own cluster, b that to the nearest other one; 0 for a cluster of one."""
+    """For arrays in memory, by plain distances of all pairs.  Mean of (b - a) / max(a, b): a the mean distance to the row's own cluster, b that to the nearest other one; 0 for a cluster of one."""
     ids, own = np.unique(own, return_inverse=True)
     if not 1 < len(ids) < len(x):
         return -1.0
@@ -136,64 +136,240 @@ def hash_order(rows: DataFrame, features: list[str], limits: Limits) -> DataFram
 
 
 def probe_rows(rows: DataFrame, features: list[str], limits: Limits) -> DataFrame:
-    """The rows that the silhouette is measured on: those of smallest seeded hash, from all over the table."""
+    """Some rows from all over the table, those of smallest seeded hash.  cluster() reads all rows and doesn't use it."""
     return hash_order(rows, features, limits).limit(limits.silhouette_rows)
 
 
+def blocks(batches: Iterable[pa.RecordBatch], mean: np.ndarray, spread: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows and their standard scores, some at a time."""
+    for b in batches:
+        raw = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) + 0.0
+        for at in range(0, len(raw), BLOCK):
+            yield raw[at : at + BLOCK], (raw[at : at + BLOCK] - mean) / spread
+
+
+def uniform(raw: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each row, and the number in (0, 1) that it stands for: the same for equal rows, wherever they lie."""
+    h = np.full(len(raw), salt, np.uint64)
+    for j in range(raw.shape[1]):
+        h = (h ^ np.ascontiguousarray(raw[:, j]).view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return h, ((h >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+
+def nearest(x: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """For each fit (fits, k, features) and row the centre next to it, the first one of equals."""
+    r, k, f = fits.shape
+    flat = np.concatenate([-2 * fits, (fits * fits).sum(2, keepdims=True)], 2).reshape(r * k, f + 1)
+    d = (flat @ np.concatenate([x, np.ones((len(x), 1))], 1).T).reshape(r, k, len(x))
+    best, own = d[:, 0].copy(), np.zeros((r, len(x)), np.int16)
+    for j in range(1, k):
+        own = np.maximum(own, (d[:, j] < best) * np.int16(j))
+        np.minimum(best, d[:, j], out=best)
+    return own
+
+
+class Rows:
+    """The complete rows of a table, read once a method."""
+
+    def __init__(self, df: DataFrame, features: list[str]):
+        cols = [quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
+        of = [F.col(f"f{i}") for i in range(len(features))]
+        whole = F.lit(True)
+        for c in of:
+            whole = whole & c.isNotNull() & ~F.isnan(c)
+        numbers = df.select(*cols)
+        each = [g for i, c in enumerate(of) for g in (F.avg(F.when(whole, c)).alias(f"mean{i}"), F.stddev_pop(F.when(whole, c)).alias(f"spread{i}"), F.count_if(c.isNull()).alias(f"null{i}"))]
+        got = numbers.agg(F.count(F.lit(1)).alias("all"), F.count_if(whole).alias("n"), *each).first()
+        self.frame, self.width, self.all, self.n = numbers.where(whole), len(features), got["all"], got["n"]
+        self.nulls = [got[f"null{i}"] for i in range(len(features))]
+        self.mean = np.array([got[f"mean{i}"] or 0.0 for i in range(len(features))])
+        self.spread = np.array([got[f"spread{i}"] or 1.0 for i in range(len(features))])
+
+    def collect(self, work: Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], np.ndarray]) -> list[np.ndarray]:
+        """What the work makes of each task's blocks, in the order of tasks."""
+        mean, spread = self.mean, self.spread
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([work(blocks(batches, mean, spread)).tobytes()], pa.binary())], names=["part"])
+
+        return [np.frombuffer(r.part) for r in self.frame.mapInArrow(task, "part binary").collect()]
+
+    def draw(self, many: int, salt: int, apart: np.ndarray | None = None) -> np.ndarray:
+        """Distinct points, raw: each as likely as any other, or in proportion to the squared distance from the points given."""
+        width = self.width
+
+        def least(keys: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(keys, return_index=True)  # equal rows have equal keys
+            return keys[:many], points[at[:many]]
+
+        def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            kept, points = np.zeros(0), np.zeros((0, width))
+            for raw, x in parts:
+                key = uniform(raw, salt)[1]
+                if apart is not None:
+                    d = distances(x, apart).min(1)
+                    far = d > 1e-12 * (1 + (x * x).sum(1))
+                    raw, key = raw[far], -np.log(key[far]) / d[far]
+                if len(kept) == many:
+                    raw, key = raw[key < kept[-1]], key[key < kept[-1]]
+                if len(key):
+                    kept, points = least(np.concatenate([kept, key]), np.concatenate([points, raw]))
+            return np.concatenate([kept[:, None], points], 1)
+
+        got = np.concatenate([p.reshape(-1, width + 1) for p in self.collect(work)])
+        return least(got[:, 0], got[:, 1:])[1]
+
+    def summary(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows next to each of the points: their number and mean."""
+        width = self.width
+
+        def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            sums = np.zeros((len(points), width + 1))
+            for _, x in parts:
+                own = distances(x, points).argmin(1)
+                sums[:, 0] += np.bincount(own, minlength=len(points))
+                for j in range(width):
+                    sums[:, j + 1] += np.bincount(own, x[:, j], len(points))
+            return sums
+
+        sums = sum(p.reshape(-1, width + 1) for p in self.collect(work))
+        sums = sums[sums[:, 0] > 0]
+        return sums[:, 0], sums[:, 1:] / sums[:, :1]
+
+    def assign(self, fits: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each centre of each fit the rows next to it: number, sums, sum of squared lengths."""
+        width = self.width
+
+        def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            sums = [np.zeros((*f.shape[:2], width + 2)) for f in fits]
+            for _, x in parts:
+                of = np.concatenate([np.ones((len(x), 1)), x, (x * x).sum(1, keepdims=True)], 1)
+                for f, s in zip(fits, sums, strict=True):
+                    own = nearest(x, f)
+                    for j in range(f.shape[1]):
+                        s[:, j] += (own == j).astype(float) @ of
+            return np.concatenate([s.ravel() for s in sums])
+
+        flat, out, at = sum(self.collect(work)), [], 0
+        for f in fits:
+            size = f.shape[0] * f.shape[1] * (width + 2)
+            out.append(flat[at : at + size].reshape(*f.shape[:2], width + 2))
+            at += size
+        return out
+
+    def farthest(self, centres: np.ndarray) -> np.ndarray:
+        def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            most, point = -1.0, np.zeros(centres.shape[1])
+            for _, x in parts:
+                d = distances(x, centres).min(1)
+                if d.max() > most:
+                    most, point = d.max(), x[d.argmax()]
+            return np.concatenate([[most], point])
+
+        return max(self.collect(work), key=lambda p: (p[0], p[1:].tolist()))[1:]
+
+    def silhouettes(self, fits: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+        """Of each fit (centres, sums of assign) over all rows.  A row's mean squared distance to a cluster is that to the mean plus the cluster's variance."""
+        known = []
+        for centres, s in fits:
+            means = s[:, 1:-1] / np.maximum(s[:, :1], 1)
+            known.append((centres, s[:, 0], means, np.maximum(s[:, -1] / np.maximum(s[:, 0], 1) - (means * means).sum(1), 0)))
+
+        def work(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            out = np.zeros(len(known))
+            for _, x in parts:
+                at = np.arange(len(x))
+                for i, (centres, sizes, means, variance) in enumerate(known):
+                    own = nearest(x, centres[None])[0]
+                    d = np.where(sizes > 0, distances(x, means) + variance, np.inf)
+                    mine = sizes[own]
+                    a = d[at, own] * mine / np.maximum(mine - 1, 1)
+                    d[at, own] = np.inf
+                    b = d.min(1)
+                    out[i] += np.where(mine > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum()
+            return out
+
+        return [float(v) / self.n for v in sum(self.collect(work))]
+
+
+def within(sums: np.ndarray) -> float:
+    """Inertia around the means."""
+    return float(np.maximum(sums[:, -1] - (sums[:, 1:-1] ** 2).sum(1) / np.maximum(sums[:, 0], 1), 0).sum())
+
+
+def same(a: np.ndarray, b: np.ndarray) -> bool:
+    d = distances(a, b)
+    return sorted(d.argmin(1)) == list(range(len(a))) and float(d.min(1).sum()) <= STILL
+
+
+def lloyd(rows: Rows, fits: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(centres, sums of assign) of each fit once it stands still; all fits share the passes.  A centre that loses all its rows moves to the row farthest from its own."""
+    done: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(fits)
+    now = list(fits)
+    for turn in range(ROUNDS):
+        open_ = [i for i, d in enumerate(done) if d is None]
+        if not open_:
+            break
+        by_size: dict[int, list[int]] = {}
+        for i in open_:
+            by_size.setdefault(len(now[i]), []).append(i)
+        got = rows.assign([np.stack([now[i] for i in g]) for g in by_size.values()])
+        for i, s in ((i, s) for g, many in zip(by_size.values(), got, strict=True) for i, s in zip(g, many, strict=True)):
+            lost = np.flatnonzero(s[:, 0] == 0)
+            new = np.where(s[:, :1] > 0, s[:, 1:-1] / np.maximum(s[:, :1], 1), now[i])
+            if turn == ROUNDS - 1 or not len(lost) and float(((new - now[i]) ** 2).sum()) <= SETTLED:
+                done[i] = (now[i], s)
+                continue
+            if len(lost):
+                new[lost[0]] = rows.farthest(now[i])
+            now[i] = new
+    return done
+
+
 def cluster(df: DataFrame, features: list[str], limits: Limits | None = None, k: int | None = None) -> Clusters:
-    limits, spark = limits or Limits(), df.sparkSession
+    limits = limits or Limits()
     if k is not None and k < 2:
         raise ValueError(f"k is {k}; at least 2 clusters make sense")
-    picked, _ = sample(df, features, limits)
-    rows = hash_order(picked, features, limits).toArrow()  # the first ones without nulls are probe_rows
-    columns = [rows[f].to_numpy(zero_copy_only=False).astype(float) for f in features]
-    nulls = [rows[f].null_count for f in features]
-    raw = np.stack(columns, 1) if len(rows) else np.zeros((0, len(features)))
-    raw = raw[~np.isnan(raw).any(1)]
-    n, sampled = len(raw), len(rows)
+    rows = Rows(df, features)
+    n = rows.n
     if n < max(limits.k_min, 2):
         raise ValueError(f"{n} rows without nulls are too few to cluster")
-    points = len(np.unique(raw, axis=0))
+    many = max(limits.candidates, 16 * (k or limits.k_max))
+    raw = rows.draw(many // 4, limits.seed)
+    points = len(raw)  # all distinct ones, where they are fewer than asked for
     # no more clusters than distinct points: with as many, each would be one of its own
     if k is not None and k > points:
         raise ValueError(f"k is {k}; there are {points} distinct points")
     if points < 2:
         raise ValueError("all rows without nulls are one point")
     most = min(limits.k_max, points if points <= 2 else points - 1)
-    spread = raw.std(0)
-    x = (raw - raw.mean(0)) / np.where(spread > 0, spread, 1)
-    shared = spark.sparkContext.broadcast((x, limits.silhouette_rows))
+    if points == many // 4:
+        for turn in (1, 2):
+            more = rows.draw(many * 3 // 8, limits.seed + turn, (raw - rows.mean) / rows.spread)
+            raw = np.concatenate([raw, more])
+    weights, few = rows.summary((raw - rows.mean) / rows.spread)
     sizes = [k] if k else list(range(min(limits.k_min, most), most + 1))
-    tries = [(size, i) for size in sizes for i in range(limits.restarts)]
-    kind = pa.schema([("k", pa.int64()), ("restart", pa.int64()), ("inertia", pa.float64()), ("centres", pa.binary())])
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(size, i, *k_means(shared.value[0], size, [limits.seed, size, i])) for size, i in zip(b["k"].to_pylist(), b["restart"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), pa.array([g[2] for g in got]), pa.array([g[3].tobytes() for g in got])], schema=kind)
-
-    spread_out = lambda rows, schema, by: spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)), *by)
-    fits = spread_out(tries, "k long, restart long", ["k", "restart"]).mapInArrow(fit, "k long, restart long, inertia double, centres binary").collect()
-    best = {size: min((f for f in fits if f.k == size), key=lambda f: (f.inertia, f.restart)) for size in sizes}
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = shared.value[0][: shared.value[1]]
-        for b in batches:
-            own = [distances(data, np.frombuffer(c).reshape(-1, data.shape[1])).argmin(1) for c in b["centres"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["k"], pa.array([silhouette(data, o) for o in own], pa.float64())], names=["k", "s"])
-
-    judged = spread_out([(size, bytes(f.centres)) for size, f in best.items()], "k long, centres binary", ["k"]).mapInArrow(judge, "k long, s double").collect()
-    score = {r.k: r.s for r in judged}
+    starts: list[np.ndarray] = []
+    for size in sizes:
+        for i in range(limits.restarts):
+            start = k_means(few, size, [limits.seed, size, i], weights=weights)[1]
+            if not any(len(s) == size and same(s, start) for s in starts):
+                starts.append(start)
+    fits = lloyd(rows, starts)
+    best = [min((f for f in fits if len(f[0]) == size), key=lambda f: within(f[1])) for size in sizes]
+    score = dict(zip(sizes, rows.silhouettes(best), strict=True))
     sweep = [(size, round(score[size], 4)) for size in sizes]
     size = max(sizes, key=lambda c: (score[c], -c))
-    own = distances(x, np.frombuffer(bytes(best[size].centres)).reshape(-1, x.shape[1])).argmin(1)
-    members = sorted((np.flatnonzero(own == c) for c in np.unique(own)), key=lambda m: (-len(m), raw[m].mean(0).tolist()))
-    counts = [len(m) for m in members]
+    sums = best[sizes.index(size)][1]
+    members = [(int(s[0]), (s[1:-1] / s[0] * rows.spread + rows.mean).tolist()) for s in sums if s[0] > 0]
+    members.sort(key=lambda m: (-m[0], m[1]))
+    counts = [m[0] for m in members]
     notes = [f"a cluster holds under 1 % of the rows ({c} of {n}): likely outliers" for c in counts if c < 0.01 * n]
     if n < limits.min_rows:
         notes.append(f"only {n} rows: clusters of so few mean little")
-    if sampled == limits.sample_rows:
-        notes.append(f"clustered over a sample of {limits.sample_rows} rows, which is the same on each run")
-    if sampled > n:
-        notes.append(f"{sampled - n} of {sampled} rows were left out for nulls: " + ", ".join(f"{f} {c}" for f, c in zip(features, nulls, strict=True) if c))
-    return Clusters(features, size, counts, [dict(zip(features, raw[m].mean(0).tolist(), strict=True)) for m in members], float(best[size].inertia), sweep, n, sampled - n, notes)
+    if rows.all > n:
+        notes.append(f"{rows.all - n} of {rows.all} rows were left out for nulls: " + ", ".join(f"{f} {c}" for f, c in zip(features, rows.nulls, strict=True) if c))
+    return Clusters(features, size, counts, [dict(zip(features, m[1], strict=True)) for m in members], within(sums), sweep, n, rows.all - n, notes)

@@ -330,3 +330,11 @@ def test_conversions_against_plain_loops(spark, window, zoned):
     views = [(w, at) for w, at, kind in rows if kind == "view"]
     hit = [any(k == "buy" and u == w and at <= t <= ends(at) for u, t, k in rows) for w, at in views]
     assert abs(got - sum(hit) / len(hit)) < 1e-12
+
+
+def test_clusters_are_of_all_rows(spark):
+    from siltstone.operators import cluster
+
+    got = cluster.cluster(spark.range(30000).selectExpr("cast(id % 3 * 40 + id % 5 * 0.1 AS double) AS a", "cast(id % 3 * 4 + id % 5 * 0.1 AS double) AS b"), ["a", "b"])
+    assert got.k == 3 and got.sizes == [10000] * 3 and got.rows == 30000
+    assert all(abs(c["a"] - 40 * i - 0.2) < 1e-9 for i, c in enumerate(sorted(got.centroids, key=lambda c: c["a"])))

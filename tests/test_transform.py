@@ -338,3 +338,28 @@ def test_clusters_are_of_all_rows(spark):
     got = cluster.cluster(spark.range(30000).selectExpr("cast(id % 3 * 40 + id % 5 * 0.1 AS double) AS a", "cast(id % 3 * 4 + id % 5 * 0.1 AS double) AS b"), ["a", "b"])
     assert got.k == 3 and got.sizes == [10000] * 3 and got.rows == 30000
     assert all(abs(c["a"] - 40 * i - 0.2) < 1e-9 for i, c in enumerate(sorted(got.centroids, key=lambda c: c["a"])))
+
+
+def test_clusters_by_passes_against_plain_loops(spark):
+    import numpy as np
+    from siltstone.operators import cluster
+
+    rng = np.random.default_rng(5)
+    raw = np.concatenate([rng.normal(c, 0.4, (n, 2)) for n, c in ((500, (0, 0)), (300, (5, 5)), (7, (0, 90)))])
+    df = spark.createDataFrame(raw.tolist(), "a double, b double").repartition(5)
+    got = cluster.cluster(df, ["a", "b"], cluster.Limits(candidates=64))
+    x = (raw - raw.mean(0)) / raw.std(0)
+    means = (np.array([[c["a"], c["b"]] for c in got.centroids]) - raw.mean(0)) / raw.std(0)
+    own = cluster.distances(x, means).argmin(1)
+    assert np.bincount(own).tolist() == got.sizes and np.allclose([x[own == c].mean(0) for c in range(got.k)], means)
+    assert abs(got.inertia - cluster.distances(x, means).min(1).sum()) < 1e-6
+    total = 0.0
+    for i, p in enumerate(x):
+        d = ((x - p) ** 2).sum(1)
+        a = d[own == own[i]].sum() / ((own == own[i]).sum() - 1)
+        b = min(d[own == c].mean() for c in range(got.k) if c != own[i])
+        total += (b - a) / max(a, b)
+    assert abs(dict(got.sweep)[got.k] - total / len(x)) < 1e-4
+    rows = cluster.Rows(df, ["a", "b"])
+    (centres, sums), *_ = cluster.lloyd(rows, [np.array([[0.0, 0.0], [1e3, 1e3], [2e3, 2e3]])])  # two of them get no rows at first
+    assert (sums[:, 0] > 0).all() and sums[:, 0].sum() == len(x)

@@ -25,14 +25,14 @@ def is_key(s: ColumnStats) -> bool:
     return bool(s.is_unique) and s.null_fraction in (0.0, None)
 
 
-def escalate(source: SparkCatalog, identifier: str, rows: int, stats: dict[str, ColumnStats]) -> None:
+def escalate(source: SparkCatalog, identifier: str, rows: int, stats: dict[str, ColumnStats], most: int = EXACT_COLUMNS) -> None:
     """Exact distinct counts for the columns that look unique within the sketch's error."""
     near = []
     for s in stats.values():
         n = non_null_rows(s, rows)
         if s.distinct_count is not None and not s.distinct_exact and n > 0 and s.distinct_count >= NEAR_UNIQUE * n:
             near.append((abs(n - s.distinct_count), s.name, n))
-    chosen = sorted(near)[:EXACT_COLUMNS]
+    chosen = sorted(near)[:most]
     exact = source.exact_distinct_counts(identifier, [name for _, name, _ in chosen]) if chosen else {}
     for _, name, n in chosen:
         s = stats[name]

@@ -280,8 +280,9 @@ def _keyed(table_name: str, column: str) -> str:
 # an edge of each pair of columns whose names match and of which the second is a key; doc_id is one in both tables
 @query("inferred_relationships", " UNION ALL ".join(f"SELECT '{a}' AS from_table, '{x}' AS from_column, '{b}' AS to_table, '{y}' AS to_column WHERE {_keyed(b, y)}" for a, x, b, y in [*EDGES, ("documents", "doc_id", "labels", "doc_id")]))
 def inferred_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cache = mapped(spark, sf_dir)
-    return rows(spark, "from_table string, from_column string, to_table string, to_column string", [(r.from_dataset.split(".")[-1], r.from_columns[0], r.to_dataset.split(".")[-1], r.to_columns[0]) for r in cache.relationships])
+    src = source(spark, sf_dir)
+    edges = relationships.infer(relationships.measure(src, src.identifiers())).edges
+    return rows(spark, "from_table string, from_column string, to_table string, to_column string", [(r.from_dataset.split(".")[-1], r.from_columns[0], r.to_dataset.split(".")[-1], r.to_columns[0]) for r in edges])
 
 
 # which columns a key may be: ids first; a table is keyed by the first that is unique

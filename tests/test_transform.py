@@ -363,3 +363,33 @@ def test_clusters_by_passes_against_plain_loops(spark):
     rows = cluster.Rows(df, ["a", "b"])
     (centres, sums), *_ = cluster.lloyd(rows, [np.array([[0.0, 0.0], [1e3, 1e3], [2e3, 2e3]])])  # two of them get no rows at first
     assert (sums[:, 0] > 0).all() and sums[:, 0].sum() == len(x)
+
+
+def test_inferred_edges_need_no_profile_of_texts(spark, small, tmp_path, monkeypatch):
+    from siltstone import queries
+    from siltstone.operators import profile, relationships
+    from siltstone.sources.catalog import SparkCatalog
+
+    odd = SparkCatalog(spark, database="default", namespace="odd")
+    odd._frames.clear()
+    for name, sql in {
+        "customers": "SELECT id AS customerid, id % 3 AS email_key, concat('c', id) AS name FROM range(50)",
+        "visits": "SELECT id AS visit_id, id % 60 AS customer_id, cast(id AS string) AS shop_key, id AS raceId FROM range(200)",
+        "shops": "SELECT cast(id AS string) AS id, cast(id AS string) AS x_shop_key, 'text' AS note FROM range(9)",
+        "races": "SELECT id, id AS race_id FROM range(0)",
+        "keyless": "SELECT id % 2 AS a, array(id) AS customer_id FROM range(8)",
+    }.items():
+        odd.add(name, spark.sql(sql), view=False)
+    for src in (queries.source(spark, small), odd):
+        full = [relationships.annotate(d) for d in profile.profile(src, src.identifiers())]
+        want, got = relationships.infer(full), relationships.infer(relationships.measure(src, src.identifiers()))
+        assert want.edges and got == want
+    read, edges = set(), relationships.infer(relationships.measure(src := queries.source(spark, small), src.identifiers())).edges
+    for method in ("column_aggregates", "exact_distinct_counts", "distinct_combination_counts", "value_domain_counts"):
+        def spied(self, identifier, columns, *a, _f=getattr(SparkCatalog, method), **k):
+            read.update(getattr(c, "name", str(c)) for c in columns)
+            return _f(self, identifier, columns, *a, **k)
+
+        monkeypatch.setattr(SparkCatalog, method, spied)
+    assert queries.ALL["inferred_relationships"](spark, small).count() == len(edges)
+    assert "o_orderkey" in read and not read & {"text", "html", "props", "url", "l_shipdate", "l_returnflag", "l_extendedprice"}

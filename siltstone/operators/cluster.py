@@ -1,6 +1,6 @@
 """k-means over all rows of numeric features, with the number of clusters chosen by the silhouette of all rows.
 
-The table is read in passes, and a task returns sums only.  Up to ``candidates`` points, drawn by k-means||, are weighted with
+Passes go over the rows, and a task returns sums only.  Up to ``candidates`` points, drawn by k-means||, are weighted with
 the rows nearest to them, and each number of clusters with each restart is fitted on these: that is where it starts from.
 Lloyd's rounds then go over all rows, all fits in one pass, until the centres stand still.  The silhouette is that of squared
 distances, which sums make exact in one pass; with plain distances it would take all pairs of rows."""
@@ -142,10 +142,18 @@ def probe_rows(rows: DataFrame, features: list[str], limits: Limits) -> DataFram
 
 def blocks(batches: Iterable[pa.RecordBatch], mean: np.ndarray, spread: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The rows and their standard scores, some at a time."""
+    for b in batches:
+        for packed in b[0]:
+            raw = np.frombuffer(packed.as_buffer()).reshape(-1, len(mean))
+            for at in range(0, len(raw), BLOCK):
+                yield raw[at : at + BLOCK], (raw[at : at + BLOCK] - mean) / spread
+
+
+def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as the bytes of one array, rows by features."""
     for b in batches:
         raw = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) + 0.0
-        for at in range(0, len(raw), BLOCK):
-            yield raw[at : at + BLOCK], (raw[at : at + BLOCK] - mean) / spread
+        yield pa.RecordBatch.from_arrays([pa.array([raw.tobytes()], pa.binary())], names=["rows"])
 
 
 def uniform(raw: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,17 +170,18 @@ def uniform(raw: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
 def nearest(x: np.ndarray, fits: np.ndarray) -> np.ndarray:
     """For each fit (fits, k, features) and row the centre next to it, the first one of equals."""
     r, k, f = fits.shape
-    flat = np.concatenate([-2 * fits, (fits * fits).sum(2, keepdims=True)], 2).reshape(r * k, f + 1)
-    d = (flat @ np.concatenate([x, np.ones((len(x), 1))], 1).T).reshape(r, k, len(x))
-    best, own = d[:, 0].copy(), np.zeros((r, len(x)), np.int16)
+    flat = np.concatenate([-2 * fits, (fits * fits).sum(2, keepdims=True)], 2).swapaxes(0, 1).reshape(k * r, f + 1)
+    d = (flat @ np.concatenate([x, np.ones((len(x), 1))], 1).T).reshape(k, r, len(x))
+    kind = np.int8 if k < 128 else np.int32
+    best, own = d[0], np.zeros((r, len(x)), kind)
     for j in range(1, k):
-        own = np.maximum(own, (d[:, j] < best) * np.int16(j))
-        np.minimum(best, d[:, j], out=best)
+        np.maximum(own, (d[j] < best).view(np.int8) * kind(j), out=own)
+        best = np.minimum(best, d[j])
     return own
 
 
 class Rows:
-    """The complete rows of a table, read once a method."""
+    """The complete rows of a table, read once and kept in packed form, 8 bytes a number, in memory or on disk until close()."""
 
     def __init__(self, df: DataFrame, features: list[str]):
         cols = [quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
@@ -183,7 +192,9 @@ class Rows:
         numbers = df.select(*cols)
         each = [g for i, c in enumerate(of) for g in (F.avg(F.when(whole, c)).alias(f"mean{i}"), F.stddev_pop(F.when(whole, c)).alias(f"spread{i}"), F.count_if(c.isNull()).alias(f"null{i}"))]
         got = numbers.agg(F.count(F.lit(1)).alias("all"), F.count_if(whole).alias("n"), *each).first()
-        self.frame, self.width, self.all, self.n = numbers.where(whole), len(features), got["all"], got["n"]
+        self.width, self.all, self.n = len(features), got["all"], got["n"]
+        packed, tasks = numbers.where(whole).mapInArrow(pack, "rows binary"), min(df.sparkSession.sparkContext.defaultParallelism, -(-self.n // 10000))
+        self.frame = (packed.repartition(tasks) if numbers.rdd.getNumPartitions() < tasks else packed).persist()
         self.nulls = [got[f"null{i}"] for i in range(len(features))]
         self.mean = np.array([got[f"mean{i}"] or 0.0 for i in range(len(features))])
         self.spread = np.array([got[f"spread{i}"] or 1.0 for i in range(len(features))])
@@ -197,6 +208,9 @@ class Rows:
 
         return [np.frombuffer(r.part) for r in self.frame.mapInArrow(task, "part binary").collect()]
 
+    def close(self) -> None:
+        self.frame.unpersist()
+
     def draw(self, many: int, salt: int, apart: np.ndarray | None = None) -> np.ndarray:
         """Distinct points, raw: each as likely as any other, or in proportion to the squared distance from the points given."""
         width = self.width
@@ -334,6 +348,13 @@ def cluster(df: DataFrame, features: list[str], limits: Limits | None = None, k:
     if k is not None and k < 2:
         raise ValueError(f"k is {k}; at least 2 clusters make sense")
     rows = Rows(df, features)
+    try:
+        return fitted(rows, features, limits, k)
+    finally:
+        rows.close()
+
+
+def fitted(rows: Rows, features: list[str], limits: Limits, k: int | None) -> Clusters:
     n = rows.n
     if n < max(limits.k_min, 2):
         raise ValueError(f"{n} rows without nulls are too few to cluster")
